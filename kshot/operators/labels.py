@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kshot.operators.positions import global_position
 
 _NUMERIC = ("int", "bigint", "smallint", "tinyint")
 
@@ -18,7 +17,9 @@ def class_bucket(df: DataFrame, col: str) -> list[Column]:
 
 
 def label_index(items: DataFrame, class_col: str = "class") -> DataFrame:
-    """``(class, class_idx)`` with class_idx = 0..C-1 in ascending class order."""
+    """``(class, class_idx)`` with class_idx = 0..C-1 in ascending class order.
+
+    Runs on the distinct class table (C rows, far fewer than items), so a plain ordered window is used.
+    """
     classes = items.select(class_col).distinct()
-    return (global_position(classes, [F.col(class_col)], class_bucket(classes, class_col), "class_idx")
-            .withColumn("class_idx", F.col("class_idx") - 1))
+    return classes.withColumn("class_idx", (F.row_number().over(Window.orderBy(class_col)) - 1).cast("bigint"))

@@ -82,10 +82,9 @@ def member_index(items: DataFrame, seed, class_col: str = "class", item_col: str
 
 
 def class_offsets(classes: DataFrame, class_col: str = "class") -> DataFrame:
-    """Exclusive running sum of class sizes in class order: ``(class, n, off)``; N = sum(n)."""
-    dtype = dict(classes.dtypes)[class_col]
-    if dtype in ("int", "bigint", "smallint", "tinyint"):
-        bucket = [F.floor(F.col(class_col) / 4096)]
-    else:
-        bucket = [F.substring(F.col(class_col), 1, 1)]
-    return prefix_offsets(classes, F.col("n"), [F.col(class_col)], bucket, "off")
+    """Exclusive running sum of class sizes in class order: ``(class, n, off)``.
+
+    The class table has one row per class (far fewer than items), so one ordered window is enough.
+    """
+    w = Window.orderBy(class_col).rowsBetween(_UNB, -1)
+    return classes.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kshot.functions.draw import order_key
 from kshot.operators.labels import label_index
 from kshot.operators.positions import Indexed, hashed_position, member_index
 
@@ -13,11 +14,11 @@ def split_classes(items: DataFrame, frac: float, seed, class_col: str = "class",
                   first: str = "train", rest: str = "validation") -> DataFrame:
     """Class-disjoint split; ``floor(frac * C)`` classes drawn without replacement go to ``first``."""
     classes = items.select(class_col).distinct()
-    ranked = hashed_position(classes, seed, F.col(class_col).cast("string"), "rank")
-    total = classes.agg(F.count(F.lit(1)).alias("_c"))
-    return (ranked.crossJoin(total)
-            .select(class_col, F.when(F.col("rank") <= F.floor(F.col("_c") * F.lit(float(frac))), F.lit(first))
-                    .otherwise(F.lit(rest)).alias("split")))
+    # one row per class: a plain ordered window over the class table is cheap
+    rank = F.row_number().over(Window.orderBy(order_key(seed, F.col(class_col)), class_col))
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    return classes.select(class_col, F.when(rank <= F.floor(total * F.lit(float(frac))), F.lit(first))
+                          .otherwise(F.lit(rest)).alias("split"))
 
 
 def background_evaluation(items: DataFrame, frac: float, seed, class_col: str = "class") -> DataFrame:

@@ -112,3 +112,25 @@ bpr AS (SELECT CASE WHEN total > 0 THEN correct / total ELSE 0.0 END AS accuracy
 bm AS (SELECT accuracy, recall, precision,
     CASE WHEN {b2} * precision + recall <> 0 THEN (1 + {b2}) * precision * recall / ({b2} * precision + recall)
          ELSE 0.0 END AS f_beta FROM bpr)"""
+
+
+def distinct_chain(src: str, n: str, k: int, seed, parts: tuple, prefix: str = "dx", out: str = "x") -> tuple[str, str]:
+    """P4 as chained CTEs over ``src``; returns (cte text, name of the last CTE with x0..x{k-1})."""
+    ctes, prev = [], src
+    for j in range(k):
+        name = f"{prefix}{j}"
+        raw = idx(f"{n} - {j}", seed, *parts, f"d{j}")
+        if j == 0:
+            expr = raw
+        else:
+            earlier = ", ".join(f"{out}{i}" for i in range(j))
+            expr = (f"list_reduce(list_prepend({raw}, list_sort([{earlier}])), "
+                    f"lambda acc, p: acc + CASE WHEN acc >= p THEN 1 ELSE 0 END)")
+        ctes.append(f"{name} AS (SELECT *, {expr} AS {out}{j} FROM {prev})")
+        prev = name
+    return ",\n".join(ctes), prev
+
+
+def offsets_cte(src_counts: str, name: str = "off") -> str:
+    return (f"{name} AS (SELECT class, n, coalesce(sum(n) OVER (ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING "
+            f"AND 1 PRECEDING), 0) AS off FROM {src_counts})")
