@@ -134,3 +134,32 @@ def distinct_chain(src: str, n: str, k: int, seed, parts: tuple, prefix: str = "
 def offsets_cte(src_counts: str, name: str = "off") -> str:
     return (f"{name} AS (SELECT class, n, coalesce(sum(n) OVER (ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING "
             f"AND 1 PRECEDING), 0) AS off FROM {src_counts})")
+
+
+def ws_chars() -> str:
+    from kshot.operators.text import WHITESPACE
+    return " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+
+
+def tokens(col: str = "text") -> str:
+    """B1 as SQL."""
+    return f"string_split(trim({col}, {ws_chars()}), ' ')"
+
+
+DTOK = f"dtok AS (SELECT doc_id AS item_id, {tokens()} AS tokens FROM documents)"
+
+
+def vocab_freq_cte(low_freq: int = 2, src: str = "dtok", name: str = "vocab") -> str:
+    return f"""{name}_cnt AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM {src}) GROUP BY token),
+{name} AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 1)::BIGINT AS id FROM {name}_cnt
+           WHERE cnt > {low_freq} UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1)"""
+
+
+def encode_cte(src: str, vocab: str, default: int, name: str = "enc") -> str:
+    return f"""{name}_ex AS (SELECT item_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM {src}),
+{name} AS (SELECT e.item_id, list(coalesce(v.id, {default})::INTEGER ORDER BY e.pos) AS ids
+           FROM {name}_ex e LEFT JOIN {vocab} v USING (token) GROUP BY e.item_id)"""
+
+
+def zeros(n: int) -> str:
+    return f"list_transform(range({n}), lambda x: 0)"
