@@ -87,21 +87,26 @@ def q_minibatches(spark, sf):
 _d1_chain, _d1_last = S.distinct_chain("d0", "n", 3, SEED, ("@class", "@round"))
 
 
-@register("sample_balanced_pairs", f"""WITH {S.ITEMS_TEXT}, {MI},
+def d1_ctes(items_cte: str, m: int = 50, seed=SEED) -> str:
+    """CTEs ending in ``d1`` = D1 pairs (class, round, pair_no, a, b, label)."""
+    return f"""{items_cte}, {MI},
 cls AS (SELECT class, count(*) AS n FROM items GROUP BY class),
 {S.offsets_cte('cls')},
 tot AS (SELECT sum(n) AS NN FROM cls),
 g AS (SELECT off.off + mi.member_idx AS gpos, mi.item_id FROM mi JOIN off USING (class)),
-d0 AS (SELECT off.class, t.r::INTEGER AS round, off.n, off.off, tot.NN FROM off, tot, range(50) t(r) WHERE off.n >= 3),
+d0 AS (SELECT off.class, t.r::INTEGER AS round, off.n, off.off, tot.NN FROM off, tot, range({m}) t(r) WHERE off.n >= 3),
 {_d1_chain},
 d AS (SELECT class, round, off + x0 AS p0, off + x1 AS p1, off + x2 AS p2,
       CASE WHEN gg >= off THEN gg + n ELSE gg END AS p3
-      FROM (SELECT *, {S.idx('NN - n', SEED, '@class', '@round', 'neg')} AS gg FROM {_d1_last}))
-SELECT d.class, d.round, 0 AS pair_no, a.item_id AS a, b.item_id AS b, 1 AS label
+      FROM (SELECT *, {S.idx('NN - n', seed, '@class', '@round', 'neg')} AS gg FROM {_d1_last})),
+d1 AS (SELECT d.class, d.round, 0 AS pair_no, a.item_id AS a, b.item_id AS b, 1 AS label
   FROM d JOIN g a ON a.gpos = d.p0 JOIN g b ON b.gpos = d.p1
 UNION ALL
 SELECT d.class, d.round, 1 AS pair_no, a.item_id AS a, b.item_id AS b, 0 AS label
-  FROM d JOIN g a ON a.gpos = d.p2 JOIN g b ON b.gpos = d.p3""")
+  FROM d JOIN g a ON a.gpos = d.p2 JOIN g b ON b.gpos = d.p3)"""
+
+
+@register("sample_balanced_pairs", f"WITH {d1_ctes(S.ITEMS_TEXT)} SELECT * FROM d1")
 def q_sample_balanced_pairs(spark, sf):
     return D.sample_balanced_pairs(fx.items_text(spark, sf), 50, SEED)
 
