@@ -88,3 +88,24 @@ def class_offsets(classes: DataFrame, class_col: str = "class") -> DataFrame:
     """
     w = Window.orderBy(class_col).rowsBetween(_UNB, -1)
     return classes.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint"))
+
+
+def running_max_before(df: DataFrame, value: Column, order: list[Column], bucket: list[Column], out: str,
+                       partition: list[str] | None = None, inclusive: bool = False) -> DataFrame:
+    """Running max of ``value`` over earlier rows (or up to the current row) in ``order`` per ``partition``.
+
+    Bucket maxima form a small table whose prefix max is joined back, so a partition holding a third
+    of all rows is still processed as many bucket-sized window tasks.
+    """
+    partition = partition or []
+    bnames = [f"_b{i}" for i in range(len(bucket))]
+    b = df.select("*", *[c.alias(n) for c, n in zip(bucket, bnames)], value.alias("_v"))
+    bmax = b.groupBy(*partition, *bnames).agg(F.max("_v").alias("_bm"))
+    w_b = (Window.partitionBy(*partition) if partition else Window).orderBy(*bnames).rowsBetween(_UNB, -1)
+    prev_b = bmax.select(*partition, *bnames, F.max("_bm").over(w_b).alias("_pb"))
+    end = 0 if inclusive else -1
+    w_in = Window.partitionBy(*partition, *bnames).orderBy(*order).rowsBetween(_UNB, end)
+    inner = b.withColumn("_pi", F.max("_v").over(w_in))
+    return (inner.join(prev_b, [*partition, *bnames])
+            .withColumn(out, F.greatest(F.col("_pb"), F.col("_pi")))
+            .drop(*bnames, "_v", "_pb", "_pi"))
