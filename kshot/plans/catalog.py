@@ -1,3 +1,3 @@
 """Imports every query module so their ``@register`` calls fill the registry."""
 
-from kshot.plans import q_classify, q_learn, q_runlog, q_sampling, q_stream, q_text, q_vectors  # noqa: F401
+from kshot.plans import q_classify, q_learn, q_runlog, q_sampling, q_sources, q_stream, q_text, q_vectors  # noqa: F401
