@@ -40,9 +40,10 @@ def pandas_tokenizer(fn: Callable[[str], list[str]], setup: Callable[[], object]
 
     ``fn(text)`` or, with ``setup``, ``fn(model, text)`` returns the token list.
     """
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
     def seg(batches):
         model = setup() if setup else None
         for s in batches:
@@ -51,8 +52,10 @@ def pandas_tokenizer(fn: Callable[[str], list[str]], setup: Callable[[], object]
             else:
                 yield s.map(lambda t: None if t is None else list(fn(model, t)))
 
-    _ = pd
-    return lambda text: seg(text)
+    # real annotation objects (not strings) mark this as an iterator UDF: one setup per task
+    seg.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(seg, T.ArrayType(T.StringType()))
+    return lambda text: udf(text)
 
 
 def segment(df: DataFrame, text_col: str, tokenizer: Tokenizer = tokenize, out: str = "tokens") -> DataFrame:
