@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kshot.functions.vectors import bind_once
+
 
 def _centred(m00: Column, m01: Column, m10: Column, m11: Column, rows: int, cols: int) -> Column:
     ox, oy = rows / 2 + 0.5, cols / 2 + 0.5
@@ -71,13 +73,4 @@ def apply_affine_chain(image: Column, mats_last_first: Column, rows: int, cols:
     return bind_once(F.struct(image.alias("v"), mats_last_first.alias("m")), body)
 
 
-def bind_once(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body`` as a lambda variable.
-
-    The optimizer may inline a projected column into a per-element lambda, re-evaluating it for every
-    element; a one-element outer ``transform`` keeps it a single evaluation.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 SHEAR_DEG = 0.3 * 180 / math.pi

@@ -79,11 +79,23 @@ def vmean(v: Column) -> Column:
     return vsum(v) / F.size(v)
 
 
+def bind_once(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Catalyst may inline a projected expression into a per-element lambda (re-evaluating it for every
+    element); a one-element outer ``transform`` keeps it to one evaluation per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def standardize_vector(v: Column) -> Column:
     """X / std - mean (population std; the mean is not divided by std)."""
-    mean = vmean(v)
-    std = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (_d(x) - mean) * (_d(x) - mean)) / F.size(v))
-    return F.transform(v, lambda x: _d(x) / std - mean)
+    def with_mean(b):
+        mean = b["mean"]
+        var = F.aggregate(b["v"], F.lit(0.0), lambda acc, x: acc + (_d(x) - mean) * (_d(x) - mean)) / F.size(b["v"])
+        return bind_once(F.struct(b["v"].alias("v"), mean.alias("mean"), F.sqrt(var).alias("std")),
+                         lambda c: F.transform(c["v"], lambda x: _d(x) / c["std"] - c["mean"]))
+    return bind_once(F.struct(v.alias("v"), vmean(v).alias("mean")), with_mean)
 
 
 def reshape_grid(v: Column, rows: int, cols: int) -> Column:

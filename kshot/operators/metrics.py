@@ -85,13 +85,21 @@ def binary_f_beta(df, pred="pred", true="actual", beta=1.0, positive=1) -> DataF
 
 def per_label(df: DataFrame, labels: DataFrame, pred: str = "pred", true: str = "actual",
               beta: float = 1.0, label_col: str = "label") -> DataFrame:
-    """Per-label ``(label, precision, recall, f_beta)`` for every label of ``labels``."""
+    """Per-label ``(label, precision, recall, f_beta)`` for every label of ``labels``.
+
+    Each confusion cell counts once for its true label (ap, and tp when correct) and once for its
+    predicted label (pp): one exploded aggregation over the small confusion table.
+    """
     conf = confusion(df, pred, true)
-    tp = conf.where(F.col("pred") == F.col("actual")).groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("tp"))
-    pp = conf.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("pp"))
-    ap = conf.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("ap"))
+    sides = F.explode(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("ap"), F.lit(0).cast("long").alias("pp"),
+                 F.when(F.col("pred") == F.col("actual"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("ap"), F.col("n").alias("pp"),
+                 F.lit(0).cast("long").alias("tp")))).alias("s")
+    counts = conf.select(sides).select("s.*").groupBy("label").agg(
+        F.sum("tp").alias("tp"), F.sum("pp").alias("pp"), F.sum("ap").alias("ap"))
     lab = labels.select(F.col(label_col).alias("label"))
-    j = lab.join(tp, "label", "left").join(pp, "label", "left").join(ap, "label", "left")
+    j = lab.join(counts, "label", "left")
     prec = _ratio(F.coalesce(F.col("tp"), F.lit(0)), F.coalesce(F.col("pp"), F.lit(0)))
     rec = _ratio(F.coalesce(F.col("tp"), F.lit(0)), F.coalesce(F.col("ap"), F.lit(0)))
     return j.select("label", prec.alias("precision"), rec.alias("recall"), f_beta_expr(prec, rec, beta).alias("f_beta"))

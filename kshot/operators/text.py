@@ -98,12 +98,18 @@ def build_vocab_by_freq(counts: DataFrame, prefix: int = 2) -> DataFrame:
     return words.unionByName(_specials(counts.sparkSession).withColumn("cnt", F.lit(None).cast("bigint")))
 
 
-def build_vocab_by_first_seen(pairs_tokens: DataFrame) -> DataFrame:
+def build_vocab_by_first_seen(sides: DataFrame, docs: DataFrame, key: str = "item_id",
+                              tokens_col: str = "tokens") -> DataFrame:
     """Ids from 1 in order of first appearance scanning pairs in ``pair_pos`` order, left side
-    before right, token position within the side.  Input ``(pair_pos, side, tokens)``.
+    (``side`` 0) before right, then token position.
+
+    ``sides`` is ``(pair_pos, side, key)``.  A document's later appearances can never be the first
+    sighting of its tokens, so each distinct document is exploded once, at its first side.
     """
-    first = (pairs_tokens.select("pair_pos", "side", F.posexplode("tokens").alias("tpos", "token"))
-             .groupBy("token").agg(F.min(F.struct("pair_pos", "side", "tpos")).alias("f")))
+    first_side = sides.groupBy(key).agg(F.min(F.struct("pair_pos", "side")).alias("fs"))
+    ex = (first_side.join(docs.select(key, tokens_col), key)
+          .select("fs.pair_pos", "fs.side", F.posexplode(tokens_col).alias("tpos", "token")))
+    first = ex.groupBy("token").agg(F.min(F.struct("pair_pos", "side", "tpos")).alias("f"))
     first = first.select("token", "f.pair_pos", "f.side", "f.tpos")
     pos = global_position(first, [F.col("pair_pos"), F.col("side"), F.col("tpos")],
                           [F.floor(F.col("pair_pos") / 64)], "id")
@@ -133,8 +139,8 @@ def _encode(docs: DataFrame, vocab: DataFrame, key: str, tokens_col: str, defaul
         joined = joined.withColumn("id", F.coalesce(F.col("id"), F.lit(default)))
     enc = (joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
            .select(key, F.transform("_p", lambda s: s["id"]).alias("ids")))
-    empty = docs.select(key).join(enc.select(key), key, "left_anti").select(
-        key, F.array().cast("array<int>").alias("ids"))
+    # documents without tokens explode to nothing: add them back without a join
+    empty = docs.where(F.coalesce(F.size(toks), F.lit(0)) <= 0).select(key, F.array().cast("array<int>").alias("ids"))
     return enc.unionByName(empty)
 
 

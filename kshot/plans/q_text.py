@@ -64,15 +64,15 @@ def q_build_vocab_by_freq(spark, sf):
     return _vocab_freq(spark, sf).select("token", "id")
 
 
-def _pair_tokens(spark, sf, E=20):
+def _pair_sides(spark, sf, E=20):
     items = fx.items_text(spark, sf)
     ep = D.sample_episodes(items, E, 5, 5, SEED)
     pr = D.episode_pairs(ep, 300, SEED, 25)
     pr = global_position(pr, [F.col("episode"), F.col("pair_no")], [F.col("episode")], "pair_pos")
-    d = docs(spark, sf).select("item_id", "tokens")
-    sides = (pr.select("pair_pos", F.lit(0).alias("side"), F.col("a").alias("item_id"))
-             .unionByName(pr.select("pair_pos", F.lit(1).alias("side"), F.col("b").alias("item_id"))))
-    return sides.join(d, "item_id")
+    return pr.select("pair_pos", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("a").alias("item_id")),
+        F.struct(F.lit(1).alias("side"), F.col("b").alias("item_id")))).alias("s")).select("pair_pos", "s.*")
+
 
 
 _PT_SQL = f"""{_pairs_sql(E=20).replace(S.ITEMS_VEC, S.ITEMS_TEXT)}, {S.DTOK},
@@ -87,7 +87,7 @@ f AS (SELECT token, pair_pos, side, tpos,
       row_number() OVER (PARTITION BY token ORDER BY pair_pos, side, tpos) AS k FROM ex)
 SELECT token, row_number() OVER (ORDER BY pair_pos, side, tpos)::BIGINT AS id FROM f WHERE k = 1""")
 def q_build_vocab_by_first_seen(spark, sf):
-    return B.build_vocab_by_first_seen(_pair_tokens(spark, sf))
+    return B.build_vocab_by_first_seen(_pair_sides(spark, sf), docs(spark, sf))
 
 
 @register("encode_unk", f"""WITH {S.DTOK}, {S.vocab_freq_cte(2)}, {S.encode_cte('dtok', 'vocab', 1)}
@@ -144,7 +144,8 @@ def q_pad_post_trunc_head(spark, sf):
 @register("length_stats", f"""WITH {_PT_SQL}
 SELECT max(len(tokens))::INTEGER AS max_len, {S.r('avg(len(tokens))')} AS mean_len FROM st""")
 def q_length_stats(spark, sf):
-    st = _pair_tokens(spark, sf).withColumn("len", F.size("tokens"))
+    lens = docs(spark, sf).select("item_id", F.size("tokens").alias("len"))
+    st = _pair_sides(spark, sf).join(lens, "item_id")
     return B.length_stats(st).select("max_len", (F.round("mean_len", 6) + F.lit(0.0)).alias("mean_len"))
 
 
@@ -153,8 +154,8 @@ SELECT (SELECT count(*) FROM vocab) AS by_freq,
        (SELECT count(DISTINCT token) FROM (SELECT unnest(tokens) AS token FROM st)) AS by_first_seen""")
 def q_vocab_size(spark, sf):
     a = B.vocab_size(_vocab_freq(spark, sf)).withColumnRenamed("vocab_size", "by_freq")
-    b = B.vocab_size(B.build_vocab_by_first_seen(_pair_tokens(spark, sf))).withColumnRenamed("vocab_size",
-                                                                                          "by_first_seen")
+    b = B.vocab_size(B.build_vocab_by_first_seen(_pair_sides(spark, sf), docs(spark, sf))).withColumnRenamed(
+        "vocab_size", "by_first_seen")
     return a.crossJoin(b)
 
 
