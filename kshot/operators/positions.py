@@ -54,7 +54,7 @@ def global_position(df: DataFrame, order: list[Column], bucket: list[Column], ou
             .drop(*bnames, "_boff", "_rn"))
 
 
-def hashed_position(df: DataFrame, seed, key: Column, out: str = "pos", digits: int = 3,
+def hashed_position(df: DataFrame, seed, key: Column, out: str = "pos", digits: int = 4,
                     partition: list[str] | None = None) -> DataFrame:
     """Random permutation position (1-based) ordered by ``md5(seed|key)`` then ``key``."""
     h = order_key(seed, key)
@@ -71,14 +71,20 @@ class Indexed:
 
 
 def member_index(items: DataFrame, seed, class_col: str = "class", item_col: str = "item_id",
-                 digits: int = 3) -> Indexed:
-    """Random member index inside each class, keyed by ``md5(seed|m|item)``."""
-    keyed = items.withColumn("_h", order_key(seed, "m", F.col(item_col)))
-    ranked = global_position(keyed, [F.col("_h"), F.col(item_col)], [F.substring("_h", 1, digits)],
+                 rows_per_bucket: int = 100_000) -> Indexed:
+    """Random member index inside each class, keyed by ``md5(seed|m|item)``.
+
+    The hash-prefix length of a class's buckets grows with the class size (about ``rows_per_bucket``
+    rows per window task), so a class holding a third of all items is still thousands of tasks while
+    small classes stay one bucket.
+    """
+    classes = items.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
+    digits = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n") / F.lit(float(rows_per_bucket))))))
+    keyed = items.join(classes, class_col).withColumn("_h", order_key(seed, "m", F.col(item_col)))
+    ranked = global_position(keyed, [F.col("_h"), F.col(item_col)], [F.col("_h").substr(F.lit(1), digits.cast("int"))],
                              "member_idx", partition=[class_col])
     ranked = ranked.withColumn("member_idx", F.col("member_idx") - 1).drop("_h")
-    classes = items.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
-    return Indexed(ranked.join(classes, class_col), classes)
+    return Indexed(ranked, classes)
 
 
 def class_offsets(classes: DataFrame, class_col: str = "class") -> DataFrame:
