@@ -53,7 +53,7 @@ def test_member_index_is_per_class_permutation(spark):
 
 def test_member_index_same_for_any_bucket_size(spark):
     items = spark.range(3000).select(F.col("id").alias("item_id"),
-                                     F.when(F.col("id") < 2000, "hot").otherwise(F.col("id") % 7).alias("class"))
+                                     F.when(F.col("id") < 2000, "hot").otherwise((F.col("id") % 7).cast("string")).alias("class"))
     a = sorted(tuple(r) for r in member_index(items, 5).items.select("item_id", "member_idx").collect())
     b = sorted(tuple(r) for r in member_index(items, 5, rows_per_bucket=3).items.select("item_id", "member_idx").collect())
     assert a == b
