@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kshot.functions.vectors import manhattan_similarity
+from kshot.session import cut_lineage
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -42,9 +43,13 @@ def nearest_support(queries: DataFrame, support: DataFrame, score: Scorer = manh
                     query_vec: str = "vec", support_vec: str = "vec", query_key: str = "item_id",
                     digits: int = 9, max_broadcast_rows: int = 200_000,
                     queries_per_task: int = 200_000) -> DataFrame:
-    """D11 + F1: add ``pred`` (class index of the most similar support) and ``score`` to ``queries``."""
-    sup = support_rows(support, support_vec)
-    n_sup = sup.limit(max_broadcast_rows + 1).count()   # size check before any broadcast
+    """D11 + F1: add ``pred`` (class index of the most similar support) and ``score`` to ``queries``.
+
+    The support rows (classes x shots, far fewer than items) are checkpointed into the shared folder
+    once, so the size check and the join read them without recomputing the item pass.
+    """
+    sup = cut_lineage(support_rows(support, support_vec))
+    n_sup = sup.count()   # size check before any broadcast
     qv = F.col(query_vec)
     if n_sup <= max_broadcast_rows:
         packed = sup.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup"))
