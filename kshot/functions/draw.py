@@ -66,3 +66,15 @@ def distinct_indices(n, k: int, seed, *parts) -> list[Column]:
 def shift_past(idx: Column, start: Column, width: Column) -> Column:
     """Map an index drawn from ``n - width`` values onto ``[0, n)`` skipping ``[start, start+width)``."""
     return F.when(idx >= start, idx + width).otherwise(idx)
+
+
+def distinct_indices_array(n, k: int, seed, *parts) -> Column:
+    """Array form of :func:`distinct_indices` for larger ``k``: one ``aggregate`` over ``0..k-1`` (linear
+    expression size), identical draws.  Picks past ``n`` are null."""
+    n = n if isinstance(n, Column) else F.lit(n)
+
+    def step(acc, j):
+        r = keyed_index(n - j, seed, *parts, F.concat(F.lit("d"), j.cast("string")))
+        x = F.aggregate(F.array_sort(acc), r, lambda a, p: a + F.when(a >= p, 1).otherwise(0))
+        return F.concat(acc, F.array(x))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), step)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kshot.functions.draw import distinct_indices, keyed_index, shift_past
+from kshot.functions.draw import distinct_indices, distinct_indices_array, keyed_index, shift_past
 from kshot.operators.labels import label_index
 from kshot.operators.positions import class_offsets, member_index
 
@@ -246,21 +246,33 @@ def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFra
          .join(cinfo.drop("cs"), ["superclass", "cidx"]))
     q0, q1 = distinct_indices(F.col("n"), 2, seed, F.col("superclass"), F.col("task"))
     nneg = (F.col("cs") if n == -1 else F.least(F.lit(n), F.col("cs"))) - 1
-    t = t.select("superclass", "task", "class", "cs", q0.alias("mq"), q1.alias("mp"), nneg.alias("nneg"))
+    t = t.select("superclass", "task", "class", "cidx", "cs", q0.alias("mq"), q1.alias("mp"), nneg.alias("nneg"))
     mem = members.select("class", "member_idx", "item_id")
-    t = _resolve(t, ["superclass", "task", "class", "nneg"], [("query", ["class", "mq"]), ("positive", ["class", "mp"])],
-                 mem, ["class", "member_idx"])
-    negs = (t.select("superclass", "task", F.col("class").alias("qclass"), "nneg", "query")
-            .join(cinfo.select("superclass", "class", "n"), "superclass")
-            .where(F.col("class") != F.col("qclass")))
-    rk = Window.partitionBy("superclass", "task").orderBy(
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("superclass"), F.col("task").cast("string"),
-                          F.col("class").cast("string"))), "class")
-    negs = (negs.withColumn("pair_no", F.row_number().over(rk)).where(F.col("pair_no") <= F.col("nneg"))
+    t = _resolve(t, ["superclass", "task", "class", "cidx", "cs", "nneg"],
+                 [("query", ["class", "mq"]), ("positive", ["class", "mp"])], mem, ["class", "member_idx"])
+    if n == -1:
+        # every other class of the superclass is a negative: the output itself is tasks x classes
+        negs = (t.select("superclass", "task", F.col("class").alias("qclass"), "nneg", "query")
+                .join(cinfo.select("superclass", "class", "n"), "superclass")
+                .where(F.col("class") != F.col("qclass")))
+        rk = Window.partitionBy("superclass", "task").orderBy(
+            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("superclass"), F.col("task").cast("string"),
+                              F.col("class").cast("string"))), "class")
+        negs = negs.withColumn("pair_no", F.row_number().over(rk))
+    else:
+        # n-1 distinct other classes drawn row-locally (P4), then resolved by an equi-join
+        picks = distinct_indices_array(F.col("cs") - 1, n - 1, seed, F.col("superclass"), F.col("task"), "neg")
+        negs = (t.select("superclass", "task", "cidx", "nneg", "query", F.posexplode(picks).alias("j", "o"))
+                .where(F.col("j") < F.col("nneg"))
+                .select("superclass", "task", "nneg", "query", (F.col("j") + 1).alias("pair_no"),
+                        shift_past(F.col("o"), F.col("cidx"), F.lit(1)).alias("cidx"))
+                .join(cinfo.select("superclass", "cidx", "class", "n"), ["superclass", "cidx"]))
+    negs = (negs.where(F.col("pair_no") <= F.col("nneg"))
             .withColumn("member_idx", keyed_index(F.col("n"), seed, F.col("superclass"), F.col("task"),
                                                   F.col("class"), "m")))
     negs = negs.join(mem, ["class", "member_idx"]).select(
-        "superclass", "task", "pair_no", "query", F.col("item_id").alias("support"), F.lit(0).alias("label"))
+        "superclass", "task", F.col("pair_no").cast("int").alias("pair_no"), "query",
+        F.col("item_id").alias("support"), F.lit(0).alias("label"))
     pos = t.select("superclass", "task", F.lit(0).alias("pair_no"), "query", F.col("positive").alias("support"),
                    F.lit(1).alias("label"))
     return pos.unionByName(negs)

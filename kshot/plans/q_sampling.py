@@ -232,21 +232,26 @@ def q_episode_query_pairs(spark, sf):
 def _d8_sql(n=20, tasks=10, seed=SEED) -> str:
     ch, last = S.distinct_chain("t1", "n", 2, seed, ("@superclass", "@task"))
     nneg = "cs" if n == -1 else f"least({n}, cs)"
+    gch, glast = S.distinct_chain("t2", "cs - 1", n - 1, seed, ("@superclass", "@task", "neg"), prefix="ngc", out="g")
+    glist = ", ".join(f"g{j}" for j in range(n - 1))
     return f"""{S.ITEMS_TEXT}, {MI},
 el AS (SELECT * FROM mi WHERE n >= 2),
 cl AS (SELECT *, row_number() OVER (PARTITION BY superclass ORDER BY class) - 1 AS cidx,
        count(*) OVER (PARTITION BY superclass) AS cs FROM (SELECT DISTINCT superclass, class, n FROM el)),
 t0 AS (SELECT s.superclass, s.cs, t.t AS task FROM (SELECT DISTINCT superclass, cs FROM cl) s, range({tasks}) t(t)),
-t1 AS (SELECT t0.superclass, t0.task, t0.cs, cl.class, cl.n FROM t0 JOIN cl ON cl.superclass = t0.superclass
+t1 AS (SELECT t0.superclass, t0.task, t0.cs, cl.class, cl.n, cl.cidx FROM t0 JOIN cl ON cl.superclass = t0.superclass
        AND cl.cidx = {S.idx('t0.cs', seed, '@t0.superclass', '@t0.task', 'c')}),
 {ch},
-t2 AS (SELECT x.superclass, x.task, x.class, {nneg} - 1 AS nneg, a.item_id AS query, b.item_id AS positive
+t2 AS (SELECT x.superclass, x.task, x.class, x.cidx, x.cs, {nneg} - 1 AS nneg, a.item_id AS query,
+       b.item_id AS positive
        FROM {last} x JOIN el a ON a.class = x.class AND a.member_idx = x.x0
        JOIN el b ON b.class = x.class AND b.member_idx = x.x1),
-ng0 AS (SELECT t2.superclass, t2.task, t2.query, t2.nneg, cl.class, cl.n,
-        row_number() OVER (PARTITION BY t2.superclass, t2.task
-          ORDER BY {S.md5key(seed, '@t2.superclass', '@t2.task', '@cl.class')}, cl.class) AS pair_no
-        FROM t2 JOIN cl ON cl.superclass = t2.superclass AND cl.class <> t2.class),
+{gch},
+ng1 AS (SELECT superclass, task, query, nneg, cidx, unnest([{glist}]) AS o,
+        generate_subscripts([{glist}], 1) AS pair_no FROM {glast}),
+ng0 AS (SELECT ng1.superclass, ng1.task, ng1.query, ng1.nneg, ng1.pair_no, cl.class, cl.n FROM ng1 JOIN cl
+        ON cl.superclass = ng1.superclass AND cl.cidx = CASE WHEN ng1.o >= ng1.cidx THEN ng1.o + 1 ELSE ng1.o END
+        WHERE ng1.pair_no <= ng1.nneg),
 ng AS (SELECT ng0.superclass, ng0.task, ng0.pair_no, ng0.query, el.item_id AS support FROM ng0 JOIN el
        ON el.class = ng0.class AND el.member_idx = {S.idx('ng0.n', seed, '@ng0.superclass', '@ng0.task', '@ng0.class', 'm')}
        WHERE ng0.pair_no <= ng0.nneg)"""
