@@ -51,6 +51,18 @@ def _members(items: DataFrame, seed, min_members: int = 1, class_col: str = "cla
 
 
 # ---------------------------------------------------------------------------------------- D1
+def _rounds(classes: DataFrame, m: int, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``classes x round`` draw coordinates, generated from a distributed ``range(m)`` so the draw
+    work is spread over tasks (the class table itself comes out of a single ordered window).  The
+    class table is broadcast only under a checked row bound; above it, it is spread first."""
+    spark = classes.sparkSession
+    rounds = spark.range(m).select(F.col("id").cast("int").alias("round"))
+    if classes.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return rounds.join(F.broadcast(classes), how="cross")
+    spread = classes.repartition(spark.sparkContext.defaultParallelism)
+    return spread.withColumn("round", _seq(m))
+
+
 def sample_balanced_pairs(items: DataFrame, m: int, seed, min_members: int = 3) -> DataFrame:
     """Per class and round, (s0, s1, 1) and (s2, neg, 0); s0..s2 distinct members of the class,
     neg uniform over all items of all other classes.  Classes with < 3 members draw no rounds.
@@ -63,8 +75,7 @@ def sample_balanced_pairs(items: DataFrame, m: int, seed, min_members: int = 3)
     gitems = (idx.items.select("class", "member_idx", "item_id")
               .join(offs.select("class", "off"), "class")
               .select((F.col("off") + F.col("member_idx")).alias("gpos"), "item_id"))
-    d = (offs.where(F.col("n") >= min_members).crossJoin(total)
-         .withColumn("round", _seq(m)))
+    d = _rounds(offs.where(F.col("n") >= min_members).crossJoin(total), m)
     s0, s1, s2 = distinct_indices(F.col("n"), 3, seed, F.col("class"), F.col("round"))
     g = keyed_index(F.col("n_all") - F.col("n"), seed, F.col("class"), F.col("round"), "neg")
     d = d.select("class", "round",
