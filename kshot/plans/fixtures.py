@@ -13,7 +13,14 @@ from kshot.operators.positions import global_position
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has task slots (a single row group is
+    one task); large inputs already have many splits and are left untouched (planning-time check)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def items_vec(spark: SparkSession, sf_dir: str) -> DataFrame:

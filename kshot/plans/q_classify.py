@@ -189,3 +189,26 @@ UNION ALL SELECT 'accuracy', {S.r('accuracy')} FROM bm""")
 def q_metric_selection(spark, sf):
     m = M.select_metrics(fx.binary(spark, sf), ["precision", "f_beta", "accuracy"])
     return m.select("metric", _r(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- L1 scorer plug-in
+_W = [((j % 7) - 3) / 10.0 for j in range(64)]
+_B0 = 0.1
+
+
+def _wl1_sql(a: str, b: str) -> str:
+    return (f"(1.0 / (1.0 + exp(-({_B0} + list_sum(list_transform(range(1, len({a}) + 1), "
+            f"lambda i: abs({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ((((i - 1) % 7) - 3) / 10.0)))))))")
+
+
+@register("scorer_plugin", f"""WITH {f1_sql(score=_wl1_sql)},
+labels AS (SELECT class_idx AS label FROM lab),
+{S.metrics_ctes('pred', 'labels')}
+SELECT {S.r('accuracy')} AS accuracy, {S.r('recall')} AS recall, {S.r('precision')} AS precision,
+       {S.r('f_beta')} AS f_beta FROM mm""")
+def q_scorer_plugin(spark, sf):
+    """L1: any ``(Column, Column) -> Column`` scorer plugs into classification; here sigmoid(w.|a-b| + b0)."""
+    from kshot.functions.vectors import weighted_l1_probability
+    m = classify_and_score(fx.items_vec(spark, sf), k=1, seed=SEED,
+                           score=lambda a, b: weighted_l1_probability(a, b, _W, _B0))
+    return m.select(*[_r(F.col(c)).alias(c) for c in ("accuracy", "recall", "precision", "f_beta")])
