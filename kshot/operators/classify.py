@@ -85,12 +85,25 @@ def nearest_support_pairs(pairs: DataFrame, query_key: str = "query", sim: str =
                                               -F.col("class_idx"))).alias("pred"))
 
 
-def query_support_cross(queries: DataFrame, support: DataFrame, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """D11 as rows: every query beside every support row (support is checked to be small and broadcast)."""
+def query_support_cross(queries: DataFrame, support: DataFrame, max_broadcast_rows: int = 200_000,
+                        query_key: str = "query", queries_per_task: int = 200_000) -> DataFrame:
+    """D11 as rows: every query beside every support row (the output is queries x support by definition).
+
+    The support is broadcast under a checked row bound; above it, support rows are numbered into
+    chunks of the bound's size and queries meet every chunk through a salted equi-join, so no join
+    key carries all queries.
+    """
     n_sup = support.limit(max_broadcast_rows + 1).count()
-    if n_sup > max_broadcast_rows:
-        raise ValueError("support set too large to pair row-wise; use nearest_support (chunked path)")
-    return queries.crossJoin(F.broadcast(support))
+    if n_sup <= max_broadcast_rows:
+        return queries.crossJoin(F.broadcast(support))
+    sup = support.withColumn("_chunk", F.pmod(F.xxhash64(*support.columns), F.lit(max(1, -(-support.count()
+                                                                                     // max_broadcast_rows)))))
+    n_chunks = max(1, -(-support.count() // max_broadcast_rows))
+    salts = max(1, -(-queries.count() // queries_per_task))
+    q = (queries.withColumn("_salt", F.pmod(F.xxhash64(F.col(query_key)), F.lit(salts)))
+         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
+    sup = sup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return q.join(sup, ["_chunk", "_salt"]).drop("_chunk", "_salt")
 
 
 def one_shot_hit(scored: DataFrame, task_cols: list[str], pair_col: str = "pair_no", p: str = "p",

@@ -10,7 +10,8 @@ from kshot.plans import sqlkit as S
 from kshot.plans.q_classify import f1_sql
 from kshot.plans.registry import register
 from kshot.session import shared_dir
-from kshot.streaming.stream import parquet_stream, run_to_parquet, stream_binary_metrics, stream_classify
+from kshot.streaming.stream import (classify_stream_batches, parquet_stream, run_to_parquet, stream_binary_metrics,
+                                    stream_classify)
 
 SEED = 42
 
@@ -25,12 +26,15 @@ def q_stream_classify(spark, sf):
     q = (stream.select(F.col("vec_id").alias("item_id"), F.col("label").alias("class"), F.col("embedding").alias("vec"))
          .join(sup_ids, "item_id", "left_anti")
          .join(labels, "class").select("item_id", F.col("class_idx").alias("actual"), "vec"))
-    out = stream_classify(q, support).select(
-        "item_id", F.col("actual").cast("bigint").alias("actual"), F.col("pred").cast("bigint").alias("pred"),
-        (F.round("score", 6) + F.lit(0.0)).alias("score"))
     path = shared_dir(spark, "stream_classify")
-    run_to_parquet(out, path + "/out", path + "/ckpt")
-    return spark.read.parquet(path + "/out")
+    try:
+        out = stream_classify(q, support)
+        run_to_parquet(out, path + "/out", path + "/ckpt")
+    except ValueError:   # support above the broadcast bound: classify each micro-batch in batch mode
+        classify_stream_batches(q, support, path + "/out", path + "/ckpt")
+    res = spark.read.parquet(path + "/out")
+    return res.select("item_id", F.col("actual").cast("bigint").alias("actual"),
+                      F.col("pred").cast("bigint").alias("pred"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 @register("stream_binary_metrics", f"""WITH s AS (SELECT ts, CASE WHEN value > 5 THEN 1 ELSE 0 END AS pred,

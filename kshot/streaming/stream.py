@@ -27,7 +27,7 @@ def stream_classify(queries: DataFrame, support: DataFrame, score: Scorer = manh
     """K1: streaming queries x static support -> ``pred``, ``score`` per query row (no state)."""
     sup = support_rows(support)
     if sup.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
-        raise ValueError("support set above the broadcast bound; classify in batch with nearest_support")
+        raise ValueError("support set above the broadcast bound; use classify_stream_batches")
     packed = sup.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup"))
     best = _best_in(F.col("_sup"), F.col(query_vec), score, digits)
     return (queries.crossJoin(F.broadcast(packed)).withColumn("_best", best)
@@ -52,6 +52,23 @@ def stream_binary_metrics(scored: DataFrame, window: str = "1 day", watermark: s
                       r.alias("recall"), p.alias("precision"), f_beta_expr(p, r, beta).alias("f_beta"))
 
 
+def classify_stream_batches(queries: DataFrame, support: DataFrame, path: str, checkpoint: str,
+                            score: Scorer = manhattan_similarity, query_key: str = "item_id",
+                            max_broadcast_rows: int = 200_000) -> None:
+    """K1 for any support size: every micro-batch is classified with the batch operator (broadcast or
+    chunked, salted path) and written to ``path/batch_id=<id>`` with overwrite, so a replayed batch
+    replaces its own output (exactly-once effect with the checkpointed source offsets)."""
+    from kshot.operators.classify import nearest_support
+
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        out = nearest_support(df, support, score, query_key=query_key, max_broadcast_rows=max_broadcast_rows)
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    q = (queries.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> None:
     """Drain a stream with ``availableNow`` into parquet (file sink + checkpoint = exactly-once)."""
     q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

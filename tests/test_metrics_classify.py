@@ -74,3 +74,31 @@ def test_rollup_adds_total_row(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1)], "superclass string, hit int")
     rows = {(r.superclass, r.is_total): r.accuracy for r in K.accuracy_by_superclass(df).collect()}
     assert rows[("a", 0)] == 0.5 and rows[("b", 0)] == 1.0 and abs(rows[(None, 1)] - 2 / 3) < 1e-12
+
+
+def test_query_support_cross_chunked_equals_broadcast(spark):
+    q = spark.range(20).select(F.col("id").alias("query"))
+    s = spark.range(7).select(F.col("id").alias("support"))
+    a = sorted(tuple(r) for r in K.query_support_cross(q, s).collect())
+    b = sorted(tuple(r) for r in K.query_support_cross(q, s, max_broadcast_rows=3, queries_per_task=6).collect())
+    assert a == b and len(a) == 140
+
+
+def test_stream_batches_fallback_equals_batch(spark):
+    import os
+    from kshot.session import shared_dir
+    from kshot.streaming.stream import classify_stream_batches
+    from tests.conftest import SF001
+    base = shared_dir(spark, "t_stream")
+    src = base + "/src"
+    qs = spark.range(30).select(F.col("id").alias("item_id"),
+                                F.array((F.col("id") % 7).cast("float"), (F.col("id") % 5).cast("float")).alias("vec"))
+    qs.write.parquet(src)
+    sup = spark.range(12).select(F.col("id").cast("int").alias("class_idx"),
+                                 F.array((F.col("id") % 4).cast("float"), (F.col("id") % 3).cast("float")).alias("vec"))
+    stream = spark.readStream.schema("item_id long, vec array<float>").parquet(src)
+    classify_stream_batches(stream, sup, base + "/out", base + "/ckpt", max_broadcast_rows=5)
+    got = sorted((r.item_id, r.pred) for r in spark.read.parquet(base + "/out").collect())
+    exp = sorted((r.item_id, r.pred) for r in K.nearest_support(spark.read.parquet(src), sup).collect())
+    assert got == exp
+    _ = (os, SF001)
