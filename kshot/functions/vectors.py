@@ -5,8 +5,6 @@ Sums run left to right inside ``aggregate`` so every engine adds in the same ord
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,20 +101,6 @@ def reshape_grid(v: Column, rows: int, cols: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.slice(v, i * cols + 1, cols))
 
 
-def signed_hash_vector(tokens: Column, dim: int = 64, seed: int = 0) -> Column:
-    """Feature hashing of a token array into ``dim`` signed buckets (md5 based, SQL reproducible)."""
-    def contrib(j):
-        return F.aggregate(
-            tokens, F.lit(0.0),
-            lambda acc, t: acc + F.when(
-                F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), t)), 1, 8), 16, 10).cast("bigint") % dim == j,
-                F.when(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), t)), 9, 1), 16, 10).cast("int") % 2 == 0,
-                       1.0).otherwise(-1.0)).otherwise(0.0))
-    return F.array(*[contrib(j) for j in range(dim)])
-
-
 def round_vec(v: Column, digits: int = 6) -> Column:
     return F.transform(v, lambda x: F.round(_d(x), digits))
 
-
-SQRT = math.sqrt

@@ -18,27 +18,6 @@ from kshot.functions.draw import order_key
 _UNB = Window.unboundedPreceding
 
 
-def prefix_offsets(df: DataFrame, weight: Column, order: list[Column], bucket: list[Column],
-                   out: str, partition: list[str] | None = None) -> DataFrame:
-    """Add ``out`` = exclusive running sum of ``weight`` in ``order`` (within ``partition``).
-
-    ``bucket`` must be non-decreasing along ``order`` so every bucket is a contiguous range.
-    """
-    partition = partition or []
-    bnames = [f"_b{i}" for i in range(len(bucket))]
-    b = df.select("*", *[c.alias(n) for c, n in zip(bucket, bnames)], weight.alias("_w"))
-    sizes = b.groupBy(*partition, *bnames).agg(F.sum("_w").alias("_bw"))
-    w_off = Window.orderBy(*bnames).rowsBetween(_UNB, -1)
-    if partition:
-        w_off = Window.partitionBy(*partition).orderBy(*bnames).rowsBetween(_UNB, -1)
-    offsets = sizes.select(*partition, *bnames, F.coalesce(F.sum("_bw").over(w_off), F.lit(0)).alias("_boff"))
-    w_in = Window.partitionBy(*partition, *bnames).orderBy(*order).rowsBetween(_UNB, -1)
-    inner = b.withColumn("_in", F.coalesce(F.sum("_w").over(w_in), F.lit(0)))
-    return (inner.join(offsets, [*partition, *bnames])
-            .withColumn(out, (F.col("_boff") + F.col("_in")).cast("bigint"))
-            .drop(*bnames, "_w", "_boff", "_in"))
-
-
 def global_position(df: DataFrame, order: list[Column], bucket: list[Column], out: str = "pos",
                     partition: list[str] | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (within ``partition``), as bigint."""

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kshot.functions.vectors import reshape_grid
 from kshot.operators.positions import global_position
 
 
@@ -48,10 +47,6 @@ def images(spark: SparkSession, sf_dir: str, rows: int = 8, cols: int = 8) -> Da
         F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
 
 
-def grid_of(v, rows: int, cols: int):
-    return reshape_grid(v, rows, cols)
-
-
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, pred, actual)`` from ``labels``: pred = quality, true = toxic."""
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("pred"), F.col("toxic").alias("actual"))
