@@ -11,7 +11,7 @@ from kshot.plans.q_classify import f1_sql
 from kshot.plans.registry import register
 from kshot.session import shared_dir
 from kshot.streaming.stream import (classify_stream_batches, parquet_stream, run_to_parquet, stream_binary_metrics,
-                                    stream_classify)
+                                    stream_classify, utc_day, utc_instant)
 
 SEED = 42
 
@@ -50,10 +50,10 @@ FROM m WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HO
 def q_stream_binary_metrics(spark, sf):
     stream = parquet_stream(spark, sf, "events", "event_id bigint, ts timestamp_ntz, user_id bigint, "
                                                  "event_type string, value double, props string")
-    scored = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 5).cast("int").alias("pred"),
+    scored = stream.select(utc_instant(F.col("ts"), spark).alias("ts"), (F.col("value") > 5).cast("int").alias("pred"),
                            F.col("event_type").isin("purchase", "signup").cast("int").alias("actual"))
     m = stream_binary_metrics(scored, "1 day", "1 hour")
-    out = m.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n",
+    out = m.select(utc_day(F.col("window_start")).alias("window_start"), "n",
                    *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("accuracy", "recall", "precision", "f_beta")])
     path = shared_dir(spark, "stream_binary_metrics")
     run_to_parquet(out, path + "/out", path + "/ckpt")

@@ -8,7 +8,7 @@ Sinks are parquet files in the shared folder with a checkpoint location (exactly
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kshot.functions.vectors import manhattan_similarity
@@ -22,6 +22,16 @@ def parquet_stream(spark: SparkSession, folder: str, table: str, schema: str) ->
             .option("maxFilesPerTrigger", 1).parquet(folder))
 
 
+def utc_instant(ntz: Column, spark: SparkSession) -> Column:
+    """The instant whose UTC wall clock equals a ``timestamp_ntz`` value, whatever the session zone."""
+    return F.from_utc_timestamp(ntz.cast("timestamp"), spark.conf.get("spark.sql.session.timeZone"))
+
+
+def utc_day(ts: Column) -> Column:
+    """``yyyy-MM-dd`` of an instant in UTC (from epoch seconds, independent of the session zone)."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(ts) / 86400).cast("int")).cast("string")
+
+
 def stream_classify(queries: DataFrame, support: DataFrame, score: Scorer = manhattan_similarity,
                     query_vec: str = "vec", digits: int = 9, max_broadcast_rows: int = 200_000) -> DataFrame:
     """K1: streaming queries x static support -> ``pred``, ``score`` per query row (no state)."""
