@@ -64,11 +64,3 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("run"), F.col("iteration"), F.col("value").alias("loss"),
         ((F.col("event_id") % 3) / F.lit(2.0)).alias("accuracy"),
         ((F.col("event_id") % 101) / F.lit(100.0)).alias("validation"))
-
-
-def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(event_id, ts timestamp, pred, actual)`` from ``events`` (ts_ntz read as UTC)."""
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("value") > 5).cast("int").alias("pred"),
-        F.col("event_type").isin("purchase", "signup").cast("int").alias("actual"))
