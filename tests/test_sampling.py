@@ -85,3 +85,18 @@ def test_alternating_labels(spark):
     tr = [r[0] for r in df.select(D.alternating_labels(F.col("pair_no"), False)).collect()]
     os_ = [r[0] for r in df.select(D.alternating_labels(F.col("pair_no"), True)).collect()]
     assert tr == [1, 0, 1, 0] and os_ == [1, 0, 0, 0]
+
+
+def test_scoped_batches_negatives_share_superclass_but_not_class(spark):
+    items = fx.items_text(spark, SF01)
+    info = {r.item_id: (r.superclass, r["class"]) for r in items.select("item_id", "superclass", "class").collect()}
+    rows = D.sample_train_batch_scoped(items, 8, 12, 4).collect()
+    assert len(rows) == 8 * 12 * 2
+    supers = sorted({s for s, _ in info.values()})
+    for r in rows:
+        sa, ca = info[r.a]
+        sb, cb = info[r.b]
+        assert sa == sb == r.superclass == supers[r.step % len(supers)]
+        assert (ca == cb) == (r.label == 1)
+        if r.label == 1:
+            assert r.a != r.b
