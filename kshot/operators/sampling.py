@@ -198,14 +198,21 @@ def episode_pairs(episodes: DataFrame, pairs: int, seed, slots: int) -> DataFram
     return out.select("episode", "pair_no", "a", "b", (F.col("ca") == F.col("cb")).cast("int").alias("label"))
 
 
-def episode_remainder(episodes: DataFrame, items: DataFrame, seed) -> DataFrame:
+def episode_remainder(episodes: DataFrame, items: DataFrame, seed, chunk: int = 4096) -> DataFrame:
     """For each (episode, way) the members of its class not drawn as that way's shots.
 
-    Output ``(episode, way, class, member_idx, item_id)``.  Size is the sum of drawn class sizes.
+    Output ``(episode, way, class, member_idx, item_id)``; its size is the sum of the drawn class
+    sizes.  Members are cut into chunks of ``chunk`` consecutive member indices and each way row is
+    replicated per chunk of its class, so the join key is ``(class, chunk)``: a hot class drawn in many
+    episodes is spread over many tasks instead of one.
     """
-    members, _ = _members(items, seed)
-    ways = episodes.select("episode", "way", "class").distinct()
-    cand = ways.join(members.select("class", "member_idx", "item_id"), "class")
+    members, classes = _members(items, seed)
+    ways = (episodes.select("episode", "way", "class").distinct().join(classes, "class")
+            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
+            .drop("n"))
+    mem = members.select("class", "member_idx", "item_id",
+                         F.floor(F.col("member_idx") / chunk).cast("int").alias("_chunk"))
+    cand = ways.join(mem, ["class", "_chunk"]).drop("_chunk")
     shots = episodes.select("episode", "way", "member_idx")
     return cand.join(shots, ["episode", "way", "member_idx"], "left_anti").select(
         "episode", "way", "class", "member_idx", "item_id")

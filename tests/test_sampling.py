@@ -100,3 +100,13 @@ def test_scoped_batches_negatives_share_superclass_but_not_class(spark):
         assert (ca == cb) == (r.label == 1)
         if r.label == 1:
             assert r.a != r.b
+
+
+def test_episode_remainder_same_for_any_chunk(spark):
+    items = fx.items_vec(spark, SF001)
+    ep = D.sample_episodes(items, 6, 3, 4, 8)
+    a = sorted(tuple(r) for r in D.episode_remainder(ep, items, 8).collect())
+    b = sorted(tuple(r) for r in D.episode_remainder(ep, items, 8, chunk=7).collect())
+    assert a == b
+    shots = {(r.episode, r.way, r.member_idx) for r in ep.collect()}
+    assert not any((r[0], r[1], r[3]) in shots for r in a)
