@@ -127,9 +127,13 @@ def _encode(docs: DataFrame, vocab: DataFrame, key: str, tokens_col: str, defaul
     if hot_ids > 0:
         hot = F.broadcast(v.where((F.col("id") >= 2) & (F.col("id") < hot_ids + 2)).withColumnRenamed("id", "hid"))
         first = exploded.join(hot, "token", "left")
-        resolved = first.where(F.col("hid").isNotNull()).select(key, "pos", F.col("hid").alias("id"))
-        tail = first.where(F.col("hid").isNull()).drop("hid").join(v, "token", "left").select(key, "pos", "id")
-        joined = resolved.unionByName(tail)
+        # one pass: tail rows join the vocabulary on 't'+token; hot rows (already resolved) carry an 'h'+hash
+        # key that matches nothing and spreads them instead of gathering them on one key
+        k = F.when(F.col("hid").isNull(), F.concat(F.lit("t"), F.col("token"))).otherwise(
+            F.concat(F.lit("h"), F.xxhash64(F.col(key), F.col("pos")).cast("string")))
+        vt = v.select(F.concat(F.lit("t"), F.col("token")).alias("_k"), "id")
+        joined = (first.withColumn("_k", k).join(vt, "_k", "left")
+                  .select(key, "pos", F.coalesce(F.col("hid"), F.col("id")).alias("id")))
     else:
         joined = exploded.join(v, "token", "left").select(key, "pos", "id")
     if default is None:
