@@ -26,3 +26,13 @@ def test_scans_prune_columns(spark):
     from tests.conftest import SF01
     plan = queries()["nearest_support"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in plan
+
+
+def test_headline_plans_stay_in_the_jvm(spark):
+    from tests.conftest import SF001
+    names = ["sample_balanced_pairs", "episode_pairs", "one_shot_hit", "pad_post_trunc_tail", "augment_pairs",
+             "episode_query_pairs", "early_stop"]
+    for n in names:
+        plan = _plan(queries()[n](spark, SF001))
+        for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+            assert node not in plan, (n, node)
