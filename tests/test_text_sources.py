@@ -74,3 +74,15 @@ def test_pandas_tokenizer_plugin(spark):
     df = spark.createDataFrame([("Hello World",)], "text string")
     tok = B.pandas_tokenizer(lambda t: t.lower().split())
     assert df.select(tok(F.col("text"))).first()[0] == ["hello", "world"]
+
+
+def test_encode_batch_plugin_sends_each_key_once(spark):
+    def factory():
+        import numpy as np
+
+        def enc(keys):
+            return [np.array([len(k), k.count("a")], dtype=float) for k in keys]
+        return enc
+    df = spark.createDataFrame([("aa",), ("b",), ("aa",), ("abc",)], "s string")
+    out = {r.key: r.vector for r in B.encode_batch(df, "s", factory, 2).collect()}
+    assert out == {"aa": [2.0, 2.0], "b": [1.0, 0.0], "abc": [3.0, 1.0]}
