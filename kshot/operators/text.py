@@ -8,6 +8,7 @@ in one shuffle partition, the tail goes through a plain shuffle join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -90,10 +91,18 @@ def _specials(spark) -> DataFrame:
     return spark.createDataFrame([(PAD, 0), (UNK, 1)], "token string, id bigint")
 
 
-def build_vocab_by_freq(counts: DataFrame, prefix: int = 2) -> DataFrame:
-    """``<PAD>``=0, ``<UNK>``=1, then tokens by descending count, ties by token (binary order)."""
-    pos = global_position(counts, [F.desc("cnt"), F.asc("token")],
-                          [-F.col("cnt"), F.substring("token", 1, prefix)], "pos")
+def build_vocab_by_freq(counts: DataFrame, rows_per_bucket: int = 100_000, fanout: float = 30.0) -> DataFrame:
+    """``<PAD>``=0, ``<UNK>``=1, then tokens by descending count, ties by token (binary order).
+
+    Positions come from ``(count, token prefix)`` buckets; the prefix is longer for counts shared by
+    many tokens (count 1 holds most of them), about ``rows_per_bucket`` tokens per window task.
+    """
+    per_cnt = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("_nc"))
+    plen = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(
+        F.log(F.col("_nc") / F.lit(float(rows_per_bucket))) / F.lit(math.log(fanout))))).cast("int")
+    keyed = counts.join(per_cnt, "cnt").withColumn("_pl", plen)
+    pos = global_position(keyed, [F.desc("cnt"), F.asc("token")],
+                          [-F.col("cnt"), F.col("token").substr(F.lit(1), F.col("_pl"))], "pos").drop("_nc", "_pl")
     words = pos.select("token", (F.col("pos") + 1).alias("id"), "cnt")
     return words.unionByName(_specials(counts.sparkSession).withColumn("cnt", F.lit(None).cast("bigint")))
 

@@ -86,3 +86,13 @@ def test_encode_batch_plugin_sends_each_key_once(spark):
     df = spark.createDataFrame([("aa",), ("b",), ("aa",), ("abc",)], "s string")
     out = {r.key: r.vector for r in B.encode_batch(df, "s", factory, 2).collect()}
     assert out == {"aa": [2.0, 2.0], "b": [1.0, 0.0], "abc": [3.0, 1.0]}
+
+
+def test_vocab_positions_same_for_any_bucket_size(spark):
+    toks = spark.range(3000).select(F.array(F.concat(F.lit("w"), (F.col("id") % 997).cast("string")),
+                                            F.concat(F.lit("x"), (F.col("id") % 13).cast("string"))).alias("tokens"))
+    counts = B.token_count(toks)
+    a = sorted(tuple(r) for r in B.build_vocab_by_freq(counts).select("token", "id").collect())
+    b = sorted(tuple(r) for r in B.build_vocab_by_freq(counts, rows_per_bucket=5, fanout=2.0).select("token", "id")
+               .collect())
+    assert a == b and sorted(i for _, i in a) == list(range(len(a)))
