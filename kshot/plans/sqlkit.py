@@ -19,7 +19,8 @@ def h(seed, *parts) -> str:
 
 
 def idx(n: str, seed, *parts) -> str:
-    return f"({h(seed, *parts)} % ({n}))"
+    """P1 index in [0, n); null when n <= 0 (as ``keyed_index``)."""
+    return f"(CASE WHEN ({n}) > 0 THEN {h(seed, *parts)} % ({n}) END)"
 
 
 def unif(seed, *parts) -> str:
