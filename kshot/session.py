@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -26,25 +26,43 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "kshot"
     )
 
 
-def shared_dir(spark: SparkSession, name: str = "") -> str:
-    """A fresh folder under the cluster's shared checkpoint location.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir`` (a path or URI, kept as given).
 
-    The location is read from ``spark.checkpoint.dir``; only when the session has none (local tests)
-    a folder is created and registered as the checkpoint dir.
+    Only a local master may run without one (tests, bench): a folder is then made once per session.
+    On a cluster a machine-local folder would be invisible to the executors, so that raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kshot-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, "kshot", f"{name}-{uuid.uuid4().hex}" if name else uuid.uuid4().hex)
-    return path
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str = "") -> str:
+    """A fresh folder name under the shared folder, as a URI that any Spark reader or writer takes."""
+    leaf = f"{name}-{uuid.uuid4().hex}" if name else uuid.uuid4().hex
+    return f"{shared_root(spark)}/kshot/{leaf}"
+
+
+def local_path(path: str) -> str:
+    """The POSIX path behind a ``file:`` URI, for plain file IO on a shared mount."""
+    return re.sub("^file:/*", "/", path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared folder and read it back (cuts lineage, survives
+    executor loss, later uses read the written columns only)."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        shared_dir(spark)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

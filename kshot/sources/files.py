@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kshot.operators.text import WHITESPACE
+from kshot.session import local_path
 
 
 # ---------------------------------------------------------------- A1
 def write_class_tree(df: DataFrame, root: str, class_col: str, name_col: str, text_col: str) -> int:
     """Write ``root/<class>/<name>`` files, one per row (the layout A1 reads).  Returns files written."""
+    root = local_path(root)
+
     def run(batches):
         import pandas as pd
         for b in batches:
@@ -47,6 +50,8 @@ def scan_class_tree(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- A2
 def write_class_csv(df: DataFrame, root: str, class_col: str, text_col: str) -> int:
     """One CSV file per class (``root/<class>``), first column the sentence (RFC 4180 quoting)."""
+    root = local_path(root)
+
     def run(batches):
         import pandas as pd
         files: dict[str, list[str]] = {}
