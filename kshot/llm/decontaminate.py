@@ -177,6 +177,16 @@ def decontaminate(documents: DataFrame, items: DataFrame, text: str = "text", it
                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def keep_clean(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
+    """``documents`` without the contaminated ones; columns stay as they are.  Only ids and text hashes of
+    contaminated rows are joined back."""
+    keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"),
+                                                  F.xxhash64(text).alias("h")))
+    judged = decontaminate(keyed.select("_key", text), items, text, **params)
+    gone = staged(judged.where("contaminated").select("_key").distinct(), "contaminated")
+    return keyed.join(gone, "_key", "left_anti").select(*documents.columns)
+
+
 def _bloom(prints: DataFrame, bits: int) -> bytes:
     """One bitmap of ``bits`` bits (a power of two) over the items' fingerprints: Spark ORs them by
     64-bit word, the driver receives at most ``bits / 64`` rows whatever the tables hold."""
