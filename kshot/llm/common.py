@@ -67,8 +67,17 @@ class Words:
         self.first = np.concatenate(([0], np.cumsum(self.count)))   # word range of each text
         run = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data)), out=run[1:])
-        h = (run[end] - run[start]) * _powers(_P_INV, len(data) + 1)[start]
-        self.hash = mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
+        self._run, self._back = run, _powers(_P_INV, len(data) + 1)[start]
+        self.hash = self._hash(start, end, slice(None))
+
+    def _hash(self, start: np.ndarray, end: np.ndarray, which) -> np.ndarray:
+        h = (self._run[end] - self._run[start]) * self._back[which]
+        return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
+
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Owning text and hash of the first ``n`` bytes of every longer word."""
+        which = np.flatnonzero(self.end - self.start > n)
+        return self.doc[which], self._hash(self.start[which], self.start[which] + n, which)
 
     def text(self, i: int) -> str:
         return bytes(_LOWER[self.data[self.start[i]:self.end[i]]]).decode("utf-8")

@@ -1,11 +1,11 @@
 """Operator 8, toxicity by classifier chains.
 
-Categories are predicted one after another: a logistic model per category over the presence of words, and
+Categories are predicted one after another: a logistic model per category over the presence of words and word beginnings, and
 from the second on also over the log-odds of all earlier categories.  In training those come from
 out-of-fold predictions (``folds`` folds by a hash of the row), so a later model sees earlier ones as wrong as
 they are on new texts; in prediction they come from the models fitted on all rows.
 
-Words are hashed to ``SLOTS``; of them each category keeps the ``PER_CATEGORY`` with the largest z value between
+They are hashed to ``SLOTS``; of these each category keeps the ``PER_CATEGORY`` with the largest z value between
 its texts and the others (at least ``MIN_Z``).  Any list of 0/1 label columns can be a chain.
 
 Scale: fitted on about ``max_rows`` labelled rows (keyed hash sample, bound is the parameter); prediction is
@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 
 from kshot.llm.common import Words, held_out, map_batches, mix, sample_rows, text_runs
 
-SLOTS, PER_CATEGORY, MIN_Z, MAX_ROWS, FOLDS, SEED = 1 << 18, 192, 4.0, 12_000, 4, 13
+PREFIXES = (4, 6, 8)
+SLOTS, PER_CATEGORY, MIN_Z, MAX_ROWS, FOLDS, SEED = 1 << 19, 192, 4.0, 12_000, 4, 13
 
 
 def word_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) of every word and of the first ``PREFIXES`` bytes of longer ones."""
     w = Words(data, offs)
-    return w.doc, (mix(w.hash + np.uint64(77)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    parts = [(w.doc, w.hash), *((d, h + np.uint64(n)) for n in PREFIXES for d, h in [w.prefix(n)])]
+    slot = (mix(np.concatenate([h for _, h in parts]) + np.uint64(77)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return np.concatenate([d for d, _ in parts]), slot
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -> np.ndarray:
