@@ -30,6 +30,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kshot.llm.common import map_batches
 from kshot.session import staged
@@ -198,6 +200,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     payload, status``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     names = [f.split()[0] for f in FIELDS.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(FIELDS))
 
     def tabled(rows: list[dict]) -> dict:
         return {n: [r[n] for r in rows] for n in names}
@@ -226,7 +229,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     def assemble(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         parts = sorted(t.to_pylist(), key=lambda r: r["number"])
-        headers = dict(parts[0]["headers"])
+        headers = {h["k"]: h["v"] for h in parts[0]["headers"]}
         block = b"".join(p["block"] for p in parts)
         total = parts[-1]["total"]
         problem = None
@@ -234,10 +237,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             problem = "gap"
         elif total != len(block):
             problem = "length"
-        row = decode({"warc-record-id": key[0].as_py()} | headers | {"warc-record-id": key[0].as_py()}, block, problem)
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-        return pa.Table.from_pylist([row], schema=to_arrow_schema(StructType.fromDDL(FIELDS)))
+        row = decode({"warc-type": "response"} | headers | {"warc-record-id": key[0].as_py()}, block, problem)
+        return pa.Table.from_pylist([row], schema=arrow)
 
     cut = map_batches(files, segments, "origin string, number int, total long, "
                                        "headers array<struct<k: string, v: string>>, block binary")
