@@ -256,7 +256,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     per = per.join(group, "root", "left").select(
         "node", F.coalesce("first", "least").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    out = docs.select("kept", "node").join(per, "node", "left")
+    # written, so that AQE can split a node that many documents share
+    out = docs.select("kept", "node").join(staged(per, "classes"), "node", "left")
     return out.select(*[F.col("kept")[c].alias(c) for c in extra],
                       F.coalesce("class_id", ident).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
