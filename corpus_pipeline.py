@@ -19,9 +19,11 @@ MIN_QUALITY = 0.7
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at least ``MIN_QUALITY``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_gbt.score(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"),
-                               quality_gbt.train(docs, labels))
-    return scored.where(F.col("score") >= MIN_QUALITY).select("_row.*")
+    name = "score"
+    while name in docs.columns:
+        name = "_" + name
+    scored = quality_gbt.score(docs, quality_gbt.train(docs, labels), out=name)
+    return scored.where(F.col(name) >= MIN_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

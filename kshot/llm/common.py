@@ -126,6 +126,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f, c in
                      ((f, cols[f.name]) for f in out)], schema=out)
+        pa.default_memory_pool().release_unused()     # workers are reused by later stages
     return df.mapInArrow(run, schema)
 
 

@@ -37,7 +37,7 @@ PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, through a memo of words."""
 
-    def __init__(self, path: str, memo: int = 900_000):
+    def __init__(self, path: str, memo: int = 300_000):
         self.memo = Memo(path, True, memo)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -184,13 +184,14 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, tex
     return fit(x[order], y[order], **params)
 
 
-def score(documents: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """``documents`` with ``score`` in 0..1 added (an own column of that name is replaced)."""
-    cols = [c for c in documents.columns if c != "score"]
-    src = documents.select(F.struct(*cols).alias("row"), F.col(text).alias("text"))
+def score(documents: DataFrame, model: Trees, text: str = "text", out: str = "score") -> DataFrame:
+    """``documents`` with the column ``out`` in 0..1 added (an own column of that name is replaced)."""
+    cols = [c for c in documents.columns if c != out]
+    src = documents.select(F.struct(*cols).alias("row"))     # the text crosses to Python once, inside its row
 
     def fn(batch):
-        for a, b, data, offs in text_runs(batch.column("text")):
-            yield {"row": batch.column("row").slice(a, b - a), "score": model.score(statistics(data, offs))}
-    out = map_batches(src, fn, f"row {src.schema['row'].dataType.simpleString()}, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in cols], "score")
+        row = batch.column("row")
+        for a, b, data, offs in text_runs(row.field(text)):
+            yield {"row": row.slice(a, b - a), "score": model.score(statistics(data, offs))}
+    scored = map_batches(src, fn, f"row {src.schema['row'].dataType.simpleString()}, score double")
+    return scored.select(*[F.col("row")[c].alias(c) for c in cols], F.col("score").alias(out))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kshot.llm.bpe_memo import WS, Memo, load
 from kshot.llm.common import map_batches
 
-CHUNK, OVERLAP, MEMO = 16_384, 256, 1_000_000
+CHUNK, OVERLAP, MEMO = 16_384, 256, 600_000
 SEGMENT = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 STABLE = re.compile(f"(?<=[^{WS}])[{WS}]|(?<=[A-Za-z])[,.;:!?]")
 
