@@ -31,10 +31,10 @@ def _params(seed, key: Column, side: Column, rg: Ranges) -> dict[str, Column]:
     def uni(lo, hi, *tags):
         return F.lit(lo) + F.lit(hi - lo) * _u(seed, key, side, *tags)
     return {
-        "rotation_sel": _u(seed, key, side, "rotation", "sel") > rg.probability,
-        "shear_sel": _u(seed, key, side, "shear", "sel") > rg.probability,
-        "shift_sel": _u(seed, key, side, "shift", "sel") > rg.probability,
-        "zoom_sel": _u(seed, key, side, "zoom", "sel") > rg.probability,
+        "rotation_sel": _u(seed, key, side, "rotation", "sel") < rg.probability,
+        "shear_sel": _u(seed, key, side, "shear", "sel") < rg.probability,
+        "shift_sel": _u(seed, key, side, "shift", "sel") < rg.probability,
+        "zoom_sel": _u(seed, key, side, "zoom", "sel") < rg.probability,
         "theta": uni(rg.rotation[0], rg.rotation[1], "rotation", "a"),
         "shear": uni(rg.shear[0], rg.shear[1], "shear", "a"),
         "tx": uni(-rg.shift[0], rg.shift[0], "shift", "x"),

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kshot.functions.vectors import manhattan_similarity
+from kshot.functions.vectors import l1_distance, manhattan_similarity
 from kshot.session import cut_lineage
 
 Scorer = Callable[[Column, Column], Column]
@@ -22,17 +22,24 @@ Scorer = Callable[[Column, Column], Column]
 NEG_INF = float("-inf")
 
 
-def _best_in(arr: Column, qvec: Column, score: Scorer, digits: int) -> Column:
+#: What a scorer is ranked by where its value can lose the order (exp of a large distance is 0 for all).
+RANK: dict[Scorer, Scorer] = {manhattan_similarity: lambda a, b: -l1_distance(a, b)}
+
+
+def _best_in(arr: Column, qvec: Column, score: Scorer) -> Column:
     """Row-local argmax over an ``array<struct<class_idx, vec>>`` sorted by class_idx.
 
-    Returns ``struct(sim, class_idx)``; the first (lowest) class index wins a tie of rounded scores.
+    Returns ``struct(rank, sim, class_idx)``, chosen by the unrounded rank; the lowest class index wins a tie.
     """
+    rank = RANK.get(score, score)
     scored = F.transform(arr, lambda s: F.struct(
-        F.coalesce(F.round(score(qvec, s["vec"]), digits), F.lit(NEG_INF)).alias("sim"),
+        F.coalesce(rank(qvec, s["vec"]), F.lit(NEG_INF)).alias("rank"),
+        F.coalesce(score(qvec, s["vec"]), F.lit(NEG_INF)).alias("sim"),
         s["class_idx"].alias("class_idx")))
-    init = F.struct(F.lit(None).cast("double").alias("sim"), F.lit(None).cast("int").alias("class_idx"))
+    init = F.struct(F.lit(None).cast("double").alias("rank"), F.lit(None).cast("double").alias("sim"),
+                    F.lit(None).cast("int").alias("class_idx"))
     return F.aggregate(scored, init, lambda acc, s: F.when(
-        acc["class_idx"].isNull() | (s["sim"] > acc["sim"]), s).otherwise(acc))
+        acc["class_idx"].isNull() | (s["rank"] > acc["rank"]), s).otherwise(acc))
 
 
 def support_rows(support: DataFrame, vec: str = "vec") -> DataFrame:
@@ -41,7 +48,7 @@ def support_rows(support: DataFrame, vec: str = "vec") -> DataFrame:
 
 def nearest_support(queries: DataFrame, support: DataFrame, score: Scorer = manhattan_similarity,
                     query_vec: str = "vec", support_vec: str = "vec", query_key: str = "item_id",
-                    digits: int = 9, max_broadcast_rows: int = 200_000,
+                    max_broadcast_rows: int = 200_000,
                     queries_per_task: int = 200_000) -> DataFrame:
     """D11 + F1: add ``pred`` (class index of the most similar support) and ``score`` to ``queries``.
 
@@ -53,7 +60,7 @@ def nearest_support(queries: DataFrame, support: DataFrame, score: Scorer = manh
     qv = F.col(query_vec)
     if n_sup <= max_broadcast_rows:
         packed = sup.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup"))
-        best = _best_in(F.col("_sup"), qv, score, digits)
+        best = _best_in(F.col("_sup"), qv, score)
         return (queries.crossJoin(F.broadcast(packed))
                 .withColumn("_best", best)
                 .select(*queries.columns, F.col("_best.class_idx").alias("pred"), F.col("_best.sim").alias("score")))
@@ -69,19 +76,19 @@ def nearest_support(queries: DataFrame, support: DataFrame, score: Scorer = manh
          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
     c = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     local = (q.join(c, ["chunk", "_salt"])
-             .withColumn("_best", _best_in(F.col("_sup"), qv, score, digits))
-             .select(query_key, F.col("_best.sim").alias("sim"), F.col("_best.class_idx").alias("cidx")))
+             .withColumn("_best", _best_in(F.col("_sup"), qv, score))
+             .select(query_key, F.col("_best.rank").alias("rank"), F.col("_best.sim").alias("sim"),
+                     F.col("_best.class_idx").alias("cidx")))
     best = local.groupBy(query_key).agg(
-        F.max_by(F.struct("cidx", "sim"), F.struct(F.col("sim"), -F.col("cidx"))).alias("_b"))
+        F.max_by(F.struct("cidx", "sim"), F.struct(F.col("rank"), -F.col("cidx"))).alias("_b"))
     return (queries.join(best, query_key)
             .select(*queries.columns, F.col("_b.cidx").alias("pred"), F.col("_b.sim").alias("score")))
 
 
-def nearest_support_pairs(pairs: DataFrame, query_key: str = "query", sim: str = "sim",
-                          digits: int = 9) -> DataFrame:
+def nearest_support_pairs(pairs: DataFrame, query_key: str = "query", sim: str = "sim") -> DataFrame:
     """F1 on already scored ``(query, class_idx, sim)`` rows: partial ``max_by`` per query."""
     return pairs.groupBy(query_key).agg(
-        F.max_by(F.col("class_idx"), F.struct(F.coalesce(F.round(F.col(sim), digits), F.lit(NEG_INF)),
+        F.max_by(F.col("class_idx"), F.struct(F.coalesce(F.col(sim), F.lit(NEG_INF)),
                                               -F.col("class_idx"))).alias("pred"))
 
 

@@ -59,7 +59,12 @@ def member_index(items: DataFrame, seed, class_col: str = "class", item_col: str
     """
     classes = items.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
     digits = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n") / F.lit(float(rows_per_bucket))))))
-    keyed = items.join(classes, class_col).withColumn("_h", order_key(seed, "m", F.col(item_col)))
+    # joined on (class, salt): a join on the class alone would gather a hot class, and its partitioning would
+    # satisfy the window below, so that the buckets would spread nothing
+    salts = 32
+    sized = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(F.col(item_col)), F.lit(salts)).cast("int"))
+    keyed = salted.join(sized, [class_col, "_salt"]).drop("_salt").withColumn("_h", order_key(seed, "m", F.col(item_col)))
     ranked = global_position(keyed, [F.col("_h"), F.col(item_col)], [F.col("_h").substr(F.lit(1), digits.cast("int"))],
                              "member_idx", partition=[class_col])
     ranked = ranked.withColumn("member_idx", F.col("member_idx") - 1).drop("_h")

@@ -44,10 +44,12 @@ def best_checkpoint(log: DataFrame) -> DataFrame:
 
 
 def early_stop(log: DataFrame, patience: int) -> DataFrame:
-    """I4: first iteration more than ``patience`` after the last improvement so far (0 if none)."""
+    """I4: first iteration more than ``patience`` after the last improvement so far.
+
+    Iterations count from 1 here; before any improvement the first iteration counts as the last one."""
     prev = running_max_before(log, F.col("validation"), [F.col("iteration")], _bucket(), "_prev", ["run"])
     imp = prev.withColumn("_imp", F.when(F.col("validation") > F.coalesce(F.col("_prev"), F.lit(0.0)),
-                                         F.col("iteration")).otherwise(F.lit(0)))
+                                         F.col("iteration")).otherwise(F.lit(1)))
     last = running_max_before(imp.drop("_prev"), F.col("_imp"), [F.col("iteration")], _bucket(), "_last", ["run"],
                               inclusive=True)
     return (last.where(F.col("iteration") - F.col("_last") > patience)

@@ -17,7 +17,7 @@ from kshot.operators.positions import class_offsets, member_index
 
 def _seq(n: int | Column) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.explode(F.sequence(F.lit(0), n - 1))
+    return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
 
 
 def _lookup(draws: DataFrame, members: DataFrame, keys: dict[str, str], out: str) -> DataFrame:
@@ -163,14 +163,14 @@ def sample_episodes(items: DataFrame, episodes: int, n_way: int, k_shot: int, se
         ep = ep.withColumn("way", _seq(n_way)).withColumn(
             "class_idx", keyed_index(F.col("C"), seed, F.col("episode"), F.col("way"), "c"))
     else:
-        picks = F.array(*distinct_indices(F.col("C"), n_way, seed, F.col("episode"), "c"))
+        picks = distinct_indices_array(F.col("C"), n_way, seed, F.col("episode"), "c")
         ep = ep.select("episode", F.posexplode(picks).alias("way", "class_idx"))
     ep = ep.join(cinfo, "class_idx")
     if replace:
         ep = ep.withColumn("shot", _seq(k_shot)).withColumn(
             "member_idx", keyed_index(F.col("n"), seed, F.col("episode"), F.col("way"), F.col("shot"), "s"))
     else:
-        picks = F.array(*distinct_indices(F.col("n"), k_shot, seed, F.col("episode"), F.col("way"), "s"))
+        picks = distinct_indices_array(F.col("n"), k_shot, seed, F.col("episode"), F.col("way"), "s")
         ep = ep.select("episode", "way", "class", F.posexplode(picks).alias("shot", "member_idx"))
     ep = ep.join(members.select("class", "member_idx", "item_id"), ["class", "member_idx"])
     return ep.select("episode", (F.col("way") * k_shot + F.col("shot")).alias("slot"), "way", "shot", "class",

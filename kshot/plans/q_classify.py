@@ -29,9 +29,11 @@ t AS (SELECT mi.*, lab.class_idx FROM mi JOIN lab USING (class)),
 sup AS (SELECT class_idx, vec FROM t WHERE member_idx < {k}),
 q AS (SELECT item_id, class_idx AS actual, vec FROM t WHERE member_idx >= {k}),
 sims AS (SELECT q.item_id, q.actual, sup.class_idx,
-    coalesce(round({score('q.vec', 'sup.vec')}, 9), '-inf'::DOUBLE) AS sim FROM q CROSS JOIN sup),
-pred AS (SELECT item_id, any_value(actual) AS actual, first(class_idx ORDER BY sim DESC, class_idx) AS pred,
-    max(sim) AS score FROM sims GROUP BY item_id)"""
+    coalesce({score('q.vec', 'sup.vec')}, '-inf'::DOUBLE) AS sim,
+    coalesce({'-' + S.l1('q.vec', 'sup.vec') if score is S.manhattan else score('q.vec', 'sup.vec')}, '-inf'::DOUBLE) AS rank
+    FROM q CROSS JOIN sup),
+pred AS (SELECT item_id, any_value(actual) AS actual, first(class_idx ORDER BY rank DESC, class_idx) AS pred,
+    first(sim ORDER BY rank DESC, class_idx) AS score FROM sims GROUP BY item_id)"""
 
 
 # ---------------------------------------------------------------- F5 flagship
@@ -76,21 +78,17 @@ def q_nearest_support_chunked(spark, sf):
                        F.col("pred").cast("bigint").alias("pred"), _r(F.col("score")).alias("score"))
 
 
-@register("query_support_cross", f"""WITH {S.ITEMS_VEC}, {S.member_cte(SEED)}, {S.label_cte()},
-t AS (SELECT mi.*, lab.class_idx FROM mi JOIN lab USING (class)),
-sup AS (SELECT class_idx, item_id, vec FROM t WHERE member_idx < 1),
-q AS (SELECT item_id, vec FROM t WHERE member_idx >= 1)
-SELECT q.item_id AS query, sup.item_id AS support, sup.class_idx::BIGINT AS class_idx,
-       {S.r(S.manhattan('q.vec', 'sup.vec'), 9)} AS sim FROM q CROSS JOIN sup""")
-def q_query_support_cross(spark, sf):
-    from kshot.operators.classify import query_support_cross
-    tagged, _ = support_query_split(fx.items_vec(spark, sf), 1, SEED)
-    sup = tagged.where("role = 'support'").select(F.col("item_id").alias("support"), "class_idx",
-                                                  F.col("vec").alias("svec"))
-    q = tagged.where("role = 'query'").select(F.col("item_id").alias("query"), "vec")
-    pairs = query_support_cross(q, sup)
-    return pairs.select("query", "support", F.col("class_idx").cast("bigint").alias("class_idx"),
-                        _r(manhattan_similarity(F.col("vec"), F.col("svec")), 9).alias("sim"))
+FAR = 50.0
+
+
+@register("nearest_support_far", f"""WITH {S.ITEMS_VEC.replace("embedding AS vec", f"list_transform(embedding, lambda x: (x * {FAR})::FLOAT) AS vec")},
+{f1_sql().split(S.ITEMS_VEC + ",", 1)[1]}
+SELECT item_id, actual::BIGINT AS actual, pred::BIGINT AS pred FROM pred""")
+def q_nearest_support_far(spark, sf):
+    """Nearest support on vectors scaled so far apart that every similarity rounds to 0."""
+    items = fx.items_vec(spark, sf).withColumn("vec", F.transform("vec", lambda x: (x * F.lit(FAR)).cast("float")))
+    pred, _ = classify(items, 1, SEED)
+    return pred.select("item_id", F.col("actual").cast("bigint").alias("actual"), F.col("pred").cast("bigint").alias("pred"))
 
 
 @register("classify_cosine", f"""WITH {f1_sql(score=S.cosine)},

@@ -62,7 +62,7 @@ def q_best_checkpoint(spark, sf):
 
 
 @register("early_stop", f"""WITH {_IMP},
-la AS (SELECT *, max(CASE WHEN improved THEN iteration ELSE 0 END) OVER (PARTITION BY run ORDER BY iteration
+la AS (SELECT *, max(CASE WHEN improved THEN iteration ELSE 1 END) OVER (PARTITION BY run ORDER BY iteration
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM im)
 SELECT run, min(iteration) AS stop_iteration FROM la WHERE iteration - last_imp > 20 GROUP BY run""")
 def q_early_stop(spark, sf):
@@ -103,10 +103,10 @@ SIDES = f"""{VP},
 sd AS (SELECT {KEY_SQL} AS key, s.side, CASE WHEN s.side = 0 THEN va ELSE vb END AS img
        FROM vp, (VALUES (0), (1)) s(side)),
 pm AS (SELECT key, side, img,
-  {S.unif(SEED, '@key', '@side', 'rotation', 'sel')} > 0.5 AS rot_sel,
-  {S.unif(SEED, '@key', '@side', 'shear', 'sel')} > 0.5 AS shear_sel,
-  {S.unif(SEED, '@key', '@side', 'shift', 'sel')} > 0.5 AS shift_sel,
-  {S.unif(SEED, '@key', '@side', 'zoom', 'sel')} > 0.5 AS zoom_sel,
+  {S.unif(SEED, '@key', '@side', 'rotation', 'sel')} < 0.5 AS rot_sel,
+  {S.unif(SEED, '@key', '@side', 'shear', 'sel')} < 0.5 AS shear_sel,
+  {S.unif(SEED, '@key', '@side', 'shift', 'sel')} < 0.5 AS shift_sel,
+  {S.unif(SEED, '@key', '@side', 'zoom', 'sel')} < 0.5 AS zoom_sel,
   {_uni_sql(RG.rotation[0], RG.rotation[1], 'rotation', 'a')} AS theta,
   {_uni_sql(RG.shear[0], RG.shear[1], 'shear', 'a')} AS shear,
   {_uni_sql(-RG.shift[0], RG.shift[0], 'shift', 'x')} AS tx,

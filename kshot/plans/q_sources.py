@@ -68,9 +68,11 @@ _CONV_PAIRS = """cp AS (SELECT x.text AS a, y.text AS b, CASE WHEN x.role = y.ro
 @register("read_pair_lines", f"""WITH {_CONV_PAIRS},
 ln AS (SELECT unnest(string_split(a || ',' || b || ',' || label, chr(10))) AS line FROM cp),
 uq AS (SELECT CASE WHEN line LIKE '"%"' AND length(line) >= 2 THEN replace(line[2:length(line) - 1], '""', '"')
-       ELSE line END AS v FROM ln),
-pt AS (SELECT string_split(v, ',') AS p FROM uq)
-SELECT p[1] AS sent_a, p[2] AS sent_b, p[3]::INTEGER AS label FROM pt WHERE len(p) = 3 AND p[3] IN ('0', '1')""")
+       ELSE line END AS v, line FROM ln),
+pt AS (SELECT line, string_split(v, ',') AS p FROM uq)
+SELECT line, CASE WHEN ok THEN p[1] END AS sent_a, CASE WHEN ok THEN p[2] END AS sent_b,
+  CASE WHEN ok THEN p[3]::INTEGER END AS label, ok
+FROM (SELECT line, p, coalesce(len(p) = 3 AND p[3] IN ('0', '1'), false) AS ok FROM pt)""")
 def q_read_pair_lines(spark, sf):
     c = fx.table(spark, sf, "conversations")
     x = c.select("conv_id", "turn", F.col("text").alias("a"), F.col("role").alias("ra"))
@@ -78,8 +80,7 @@ def q_read_pair_lines(spark, sf):
     pairs = x.join(y, ["conv_id", "turn"]).withColumn("label", (F.col("ra") == F.col("rb")).cast("int"))
     path = shared_dir(spark, "pair_lines")
     A.pair_lines(pairs, "a", "b", "label").write.text(path)
-    good, _bad = A.read_pair_lines(spark, path)
-    return good
+    return A.read_pair_lines(spark, path)
 
 
 @register("write_pairs", f"""WITH {_pairs_sql()}
@@ -99,7 +100,7 @@ def q_save_load_vocab(spark, sf):
 
 
 @register("load_word_vectors", f"""WITH {S.DTOK}, {S.vocab_freq_cte(2)}, {TVEC_SQL}
-SELECT token, vector FROM tvec WHERE NOT regexp_matches(token, '[\n\r]')""")
+SELECT token, vector FROM tvec""")
 def q_load_word_vectors(spark, sf):
     vocab = _vocab_freq(spark, sf).select("token", "id")
     tv = token_vectors(spark, sf, vocab)

@@ -67,13 +67,19 @@ def q_embedding_matrix_zero(spark, sf):
 
 
 @register("embedding_lookup", f"""WITH {_ZM}, {S.encode_cte('dtok', 'vocab', 1)},
-ex AS (SELECT item_id, unnest(ids[1:20]) AS id, generate_subscripts(ids[1:20], 1) AS pos FROM enc)
-SELECT ex.item_id, list({_srv('zm.vector')} ORDER BY ex.pos) AS vectors FROM ex JOIN zm USING (id) GROUP BY ex.item_id""")
+ex AS (SELECT item_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM enc),
+lk AS (SELECT ex.item_id, ex.pos, {_srv('zm.vector')} AS v FROM ex JOIN zm USING (id))
+SELECT item_id, count(*) AS n, arg_min(v, pos) AS first, arg_max(v, pos) AS last, arg_min(v, -((pos * 7919) % 1009) * 100000 + pos) AS probe
+FROM lk GROUP BY item_id""")
 def q_embedding_lookup(spark, sf):
     vocab, m = _zero_matrix(spark, sf)
-    enc = B.encode_unk(docs(spark, sf), vocab, max_len=20)
-    out = EM.embedding_lookup(enc, m)
-    return out.select("item_id", F.transform("vectors", lambda v: _rv(v)).alias("vectors"))
+    """All tokens of every document; returned are their number and the vectors at three positions."""
+    out = EM.embedding_lookup(B.encode_unk(docs(spark, sf), vocab), m)
+    probe = F.expr("""array_min(transform(sequence(1L, cast(size(vectors) as bigint)),
+        p -> named_struct('k', -((p * 7919) % 1009) * 100000 + p, 'p', p))).p""")
+    return out.select("item_id", F.size("vectors").cast("long").alias("n"), _rv(F.element_at("vectors", 1)).alias("first"),
+                      _rv(F.element_at("vectors", -1)).alias("last"),
+                      _rv(F.col("vectors")[(probe - 1).cast("int")]).alias("probe"))
 
 
 @register("max_pool_time", f"""WITH {_ZM}, {S.encode_cte('dtok', 'vocab', 1)},

@@ -94,20 +94,19 @@ def pair_lines(pairs: DataFrame, a: str, b: str, label: str) -> DataFrame:
     return pairs.select(F.concat_ws(",", F.col(a), F.col(b), F.col(label).cast("string")).alias("value"))
 
 
-def read_pair_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A4: each line holds ``a,b,label``; lines that do not split into exactly 3 parts with a 0/1 label
-    are rejects (returned separately instead of vanishing).  Surrounding double quotes are removed."""
+def read_pair_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A4: each line holds ``a,b,label``; a row per line: ``(line, sent_a, sent_b, label, ok)``.  Lines that do
+    not split into exactly 3 parts with a 0/1 label are not ``ok`` (their fields are null).  Surrounding
+    double quotes are removed."""
     lines = spark.read.text(path)
     v = F.col("value")
     unq = F.when(v.startswith('"') & v.endswith('"') & (F.length(v) >= 2),
                  F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')).otherwise(v)
     parts = F.split(unq, ",", -1)
     ok = (F.size(parts) == 3) & F.element_at(parts, 3).isin("0", "1")
-    tagged = lines.select(v.alias("line"), parts.alias("parts"), ok.alias("ok"))
-    good = tagged.where("ok").select(F.element_at("parts", 1).alias("sent_a"), F.element_at("parts", 2).alias("sent_b"),
-                                     F.element_at("parts", 3).cast("int").alias("label"))
-    bad = tagged.where(~F.col("ok")).select("line")
-    return good, bad
+    field = lambda i: F.when(F.col("ok"), F.element_at("parts", i))
+    return lines.select(v.alias("line"), parts.alias("parts"), F.coalesce(ok, F.lit(False)).alias("ok")).select(
+        "line", field(1).alias("sent_a"), field(2).alias("sent_b"), field(3).cast("int").alias("label"), "ok")
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
@@ -128,10 +127,12 @@ def load_vocab(spark: SparkSession, path: str) -> DataFrame:
 def write_word_vectors(vectors: DataFrame, path: str, dim: int) -> None:
     """Text word-vector format: header ``count dim`` then ``token v1 ... vd``.
 
-    A token holding a line break cannot be represented in this line format and is left out.
+    Line breaks inside a token are written as ``\\n`` and ``\\r``, a backslash as two.
     """
-    vectors = vectors.where(~F.col("token").rlike("[\n\r]"))
-    body = vectors.select(F.concat_ws(" ", F.col("token"), F.array_join(
+    token = F.col("token")
+    for plain, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        token = F.replace(token, F.lit(plain), F.lit(coded))
+    body = vectors.select(F.concat_ws(" ", token, F.array_join(
         F.transform("vector", lambda x: x.cast("string")), " ")).alias("value"))
     header = vectors.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.lit(str(dim))).alias("value"))
     header.unionByName(body).write.mode("overwrite").text(path)
@@ -141,7 +142,10 @@ def load_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """``(token, vector array<float>)``; the header line (2 fields) is dropped."""
     parts = F.split(F.col("value"), " ", -1)
     df = spark.read.text(path).where(F.size(parts) == dim + 1)
-    return df.select(F.element_at(parts, 1).alias("token"),
+    token = F.element_at(parts, 1)
+    for coded, plain in (("\\\\", "\0"), ("\\n", "\n"), ("\\r", "\r"), ("\0", "\\")):
+        token = F.replace(token, F.lit(coded), F.lit(plain))
+    return df.select(token.alias("token"),
                      F.transform(F.slice(parts, 2, dim), lambda x: x.cast("float")).alias("vector"))
 
 
@@ -179,5 +183,5 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        build().write.mode("errorifexists").parquet(path)
+        build().write.mode("overwrite").parquet(path)     # also over what a failed write left
     return spark.read.parquet(path)

@@ -17,9 +17,8 @@ from kshot.operators.metrics import f_beta_expr
 
 
 def parquet_stream(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
-    """One table of a folder as a file stream (the folder holds several tables)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+    """One table as a file stream: a single file or a folder of part files (the glob matches either)."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def utc_instant(ntz: Column, spark: SparkSession) -> Column:
@@ -33,13 +32,13 @@ def utc_day(ts: Column) -> Column:
 
 
 def stream_classify(queries: DataFrame, support: DataFrame, score: Scorer = manhattan_similarity,
-                    query_vec: str = "vec", digits: int = 9, max_broadcast_rows: int = 200_000) -> DataFrame:
+                    query_vec: str = "vec", max_broadcast_rows: int = 200_000) -> DataFrame:
     """K1: streaming queries x static support -> ``pred``, ``score`` per query row (no state)."""
     sup = support_rows(support)
     if sup.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
         raise ValueError("support set above the broadcast bound; use classify_stream_batches")
     packed = sup.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup"))
-    best = _best_in(F.col("_sup"), F.col(query_vec), score, digits)
+    best = _best_in(F.col("_sup"), F.col(query_vec), score)
     return (queries.crossJoin(F.broadcast(packed)).withColumn("_best", best)
             .select(*queries.columns, F.col("_best.class_idx").alias("pred"), F.col("_best.sim").alias("score")))
 

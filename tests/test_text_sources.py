@@ -45,9 +45,9 @@ def test_encode_strict_fails_on_unseen_token(spark):
 def test_pair_lines_reject_bad_rows(spark):
     path = shared_dir(spark, "t_pairs")
     spark.createDataFrame([("x,y,z,1",), ("x,y,1",), ("x,y",), ('"p,q,0"',)], "value string").write.text(path)
-    good, bad = A.read_pair_lines(spark, path)
-    assert sorted(tuple(r) for r in good.collect()) == [("p", "q", 0), ("x", "y", 1)]
-    assert bad.count() == 2
+    lines = A.read_pair_lines(spark, path)
+    assert sorted((r.sent_a, r.sent_b, r.label) for r in lines.where("ok").collect()) == [("p", "q", 0), ("x", "y", 1)]
+    assert sorted(r.line for r in lines.where("not ok and label is null").collect()) == ["x,y", "x,y,z,1"]
 
 
 def test_image_catalog_reads_paths_only(spark):
