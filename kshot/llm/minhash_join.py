@@ -26,7 +26,7 @@ from kshot.llm.common import Words, map_batches, mix, text_runs
 from kshot.session import staged
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
-BLOCK = 512
+BLOCK = 256
 NODE = "decimal(38,0)"
 
 

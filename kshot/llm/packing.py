@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kshot.llm.bpe_memo import NOT_SPACE, WS, Memo
 from kshot.session import staged
 
-CAPACITY, WINDOWS, MERGE, END = 4096, 32, 32, 2
+CAPACITY, WINDOWS, MERGE, END = 4096, 32, 8, 2
 WORD = re.compile(f"[^{WS}]+")
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")
 
