@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kshot.functions.draw import order_key
+from kshot.session import staged
 
 _UNB = Window.unboundedPreceding
 
@@ -33,6 +34,18 @@ def global_position(df: DataFrame, order: list[Column], bucket: list[Column], ou
             .drop(*bnames, "_boff", "_rn"))
 
 
+def ranged_position(df: DataFrame, order: list[Column], out: str = "pos", rows_per_range: int = 100_000) -> DataFrame:
+    """1-based position of every row in ``order`` (which must tell all rows apart), without a prefix of the key.
+
+    Rows are dealt into sampled ranges of about ``rows_per_range`` rows and written with their range number, so that
+    the numbers are fixed; then ``global_position`` takes the range as bucket.
+    """
+    df = staged(df, "unranked")
+    n = max(1, -(-df.count() // rows_per_range))
+    dealt = staged(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return global_position(dealt, order, [F.col("_range")], out).drop("_range")
+
+
 def hashed_position(df: DataFrame, seed, key: Column, out: str = "pos", digits: int = 4,
                     partition: list[str] | None = None) -> DataFrame:
     """Random permutation position (1-based) ordered by ``md5(seed|key)`` then ``key``."""

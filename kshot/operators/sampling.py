@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kshot.functions.draw import distinct_indices, distinct_indices_array, keyed_index, shift_past
+from kshot.operators.joins import small_join
 from kshot.operators.labels import label_index
 from kshot.operators.positions import class_offsets, member_index
 
@@ -63,31 +64,30 @@ def _rounds(classes: DataFrame, m: int, max_broadcast_rows: int = 1_000_000) ->
     return spread.withColumn("round", _seq(m))
 
 
-def sample_balanced_pairs(items: DataFrame, m: int, seed, min_members: int = 3) -> DataFrame:
-    """Per class and round, (s0, s1, 1) and (s2, neg, 0); s0..s2 distinct members of the class,
-    neg uniform over all items of all other classes.  Classes with < 3 members draw no rounds.
+def sample_balanced_pairs(items: DataFrame, m: int, seed, min_members: int = 3, neg_samples: int = 1) -> DataFrame:
+    """Per class and round, (s0, s1, 1) and ``neg_samples`` pairs (s2, neg, 0); s0..s2 distinct members of the
+    class, every neg uniform over all items of all other classes.  Classes with < 3 members draw no rounds.
 
-    Output ``(class, round, pair_no, a, b, label)``.
+    Output ``(class, round, pair_no, a, b, label)``; pair 0 is the positive one.
     """
     idx = member_index(items, seed)
     offs = class_offsets(idx.classes)                          # class, n, off
     total = idx.classes.agg(F.sum("n").alias("n_all"))
-    gitems = (idx.items.select("class", "member_idx", "item_id")
-              .join(offs.select("class", "off"), "class")
+    gitems = (small_join(idx.items.select("class", "member_idx", "item_id"), offs.select("class", "off"), "class", "item_id")
               .select((F.col("off") + F.col("member_idx")).alias("gpos"), "item_id"))
     d = _rounds(offs.where(F.col("n") >= min_members).crossJoin(total), m)
     s0, s1, s2 = distinct_indices(F.col("n"), 3, seed, F.col("class"), F.col("round"))
-    g = keyed_index(F.col("n_all") - F.col("n"), seed, F.col("class"), F.col("round"), "neg")
-    d = d.select("class", "round",
-                 (F.col("off") + s0).alias("p0"), (F.col("off") + s1).alias("p1"),
-                 (F.col("off") + s2).alias("p2"), shift_past(g, F.col("off"), F.col("n")).alias("p3"))
-    d = _resolve(d, ["class", "round"], [("i0", ["p0"]), ("i1", ["p1"]), ("i2", ["p2"]), ("i3", ["p3"])],
-                 gitems, ["gpos"])
-    pos = d.select("class", "round", F.lit(0).alias("pair_no"), F.col("i0").alias("a"), F.col("i1").alias("b"),
-                   F.lit(1).alias("label"))
-    neg = d.select("class", "round", F.lit(1).alias("pair_no"), F.col("i2").alias("a"), F.col("i3").alias("b"),
-                   F.lit(0).alias("label"))
-    return pos.unionByName(neg)
+
+    def negative(j: int) -> Column:
+        g = keyed_index(F.col("n_all") - F.col("n"), seed, F.col("class"), F.col("round"), f"neg{j}" if j else "neg")
+        return shift_past(g, F.col("off"), F.col("n"))
+    d = d.select("class", "round", *[(F.col("off") + s).alias(f"p{i}") for i, s in enumerate((s0, s1, s2))],
+                 *[negative(j).alias(f"p{3 + j}") for j in range(neg_samples)])
+    d = _resolve(d, ["class", "round"], [(f"i{i}", [f"p{i}"]) for i in range(3 + neg_samples)], gitems, ["gpos"])
+    pairs = [F.struct(F.lit(0).alias("pair_no"), F.col("i0").alias("a"), F.col("i1").alias("b"), F.lit(1).alias("label")),
+             *[F.struct(F.lit(1 + j).alias("pair_no"), F.col("i2").alias("a"), F.col(f"i{3 + j}").alias("b"),
+                        F.lit(0).alias("label")) for j in range(neg_samples)]]
+    return d.select("class", "round", F.inline(F.array(*pairs)))
 
 
 # ---------------------------------------------------------------------------------------- D2, D3
@@ -269,10 +269,11 @@ def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFra
     t = _resolve(t, ["superclass", "task", "class", "cidx", "cs", "nneg"],
                  [("query", ["class", "mq"]), ("positive", ["class", "mp"])], mem, ["class", "member_idx"])
     if n == -1:
-        # every other class of the superclass is a negative: the output itself is tasks x classes
-        negs = (t.select("superclass", "task", F.col("class").alias("qclass"), "nneg", "query")
-                .join(cinfo.select("superclass", "class", "n"), "superclass")
-                .where(F.col("class") != F.col("qclass")))
+        # every other class of the superclass is a negative: tasks x classes rows, each found by its class index
+        negs = (t.select("superclass", "task", F.col("cidx").alias("qidx"), "nneg", "query",
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cs") - 1)).alias("cidx"))
+                .where(F.col("cidx") != F.col("qidx"))
+                .join(cinfo.select("superclass", "cidx", "class", "n"), ["superclass", "cidx"]))
         rk = Window.partitionBy("superclass", "task").orderBy(
             F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("superclass"), F.col("task").cast("string"),
                               F.col("class").cast("string"))), "class")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kshot.functions.draw import order_key
+from kshot.operators.joins import small_join
 from kshot.operators.labels import label_index
 from kshot.operators.positions import Indexed, hashed_position, member_index
+from kshot.session import staged
 
 
 def split_classes(items: DataFrame, frac: float, seed, class_col: str = "class",
@@ -21,10 +23,11 @@ def split_classes(items: DataFrame, frac: float, seed, class_col: str = "class",
                           .otherwise(F.lit(rest)).alias("split"))
 
 
-def background_evaluation(items: DataFrame, frac: float, seed, class_col: str = "class") -> DataFrame:
+def background_evaluation(items: DataFrame, frac: float, seed, class_col: str = "class",
+                          item_col: str = "item_id") -> DataFrame:
     """Tag items with ``split`` in (background, evaluation) by a class-level split."""
     split = split_classes(items, frac, seed, class_col, "background", "evaluation")
-    return items.join(split, class_col)
+    return small_join(items, split, class_col, item_col)
 
 
 def restrict(items: DataFrame, split: DataFrame, which: str, class_col: str = "class") -> DataFrame:
@@ -59,6 +62,27 @@ def minibatches(rows: DataFrame, batch: int, pos: str = "pos") -> DataFrame:
             .where(F.col("batch_id") < F.floor(F.col("_n") / F.lit(batch))).drop("_n"))
 
 
+def draw_support(items: DataFrame, k: int, seed, class_col: str = "class", item_col: str = "item_id",
+                 max_broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C6 without numbering the items: ``(support, queries, labels)`` with the rows of ``support_query_split``.
+
+    The first ``k`` items of every class are found on ``(class, item)`` alone (Spark keeps ``k`` per class and task
+    before the shuffle) and written; the items lose them by an anti join, so vectors are not shuffled while the
+    support is under the broadcast bound.
+    """
+    h = order_key(seed, "m", F.col(item_col))
+    first = Window.partitionBy(class_col).orderBy("_h", item_col)
+    ids = staged(items.select(class_col, item_col, h.alias("_h")).withColumn("_k", F.row_number().over(first))
+                 .where(F.col("_k") <= k).select(item_col), "support_ids")
+    few = ids.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    ids = F.broadcast(ids) if few else ids
+    labels = staged(label_index(items, class_col), "labels")
+
+    def tag(part: DataFrame) -> DataFrame:
+        return small_join(part, labels, class_col, item_col, max_broadcast_rows)
+    return tag(items.join(ids, item_col, "left_semi")), tag(items.join(ids, item_col, "left_anti")), labels
+
+
 def support_query_split(items: DataFrame, k: int, seed, class_col: str = "class",
                         item_col: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """Per class the first ``k`` members (random order) are support, the rest are queries.
@@ -67,6 +91,6 @@ def support_query_split(items: DataFrame, k: int, seed, class_col: str = "class"
     """
     idx: Indexed = member_index(items, seed, class_col, item_col)
     labels = label_index(items, class_col)
-    tagged = (idx.items.join(labels, class_col)
+    tagged = (small_join(idx.items, labels, class_col, item_col)
               .withColumn("role", F.when(F.col("member_idx") < k, "support").otherwise("query")))
     return tagged, labels

@@ -8,14 +8,14 @@ in one shuffle partition, the tail goes through a plain shuffle join.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kshot.operators.positions import global_position
+from kshot.operators.joins import split_join
+from kshot.operators.positions import global_position, ranged_position
 
 # The characters Python's str.strip() removes (str.isspace), in code-point order.
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
@@ -91,18 +91,13 @@ def _specials(spark) -> DataFrame:
     return spark.createDataFrame([(PAD, 0), (UNK, 1)], "token string, id bigint")
 
 
-def build_vocab_by_freq(counts: DataFrame, rows_per_bucket: int = 100_000, fanout: float = 30.0) -> DataFrame:
+def build_vocab_by_freq(counts: DataFrame, rows_per_bucket: int = 100_000) -> DataFrame:
     """``<PAD>``=0, ``<UNK>``=1, then tokens by descending count, ties by token (binary order).
 
-    Positions come from ``(count, token prefix)`` buckets; the prefix is longer for counts shared by
-    many tokens (count 1 holds most of them), about ``rows_per_bucket`` tokens per window task.
+    Positions come from ranges of about ``rows_per_bucket`` tokens in that order, so tokens that share a count or a
+    long beginning are spread as well.
     """
-    per_cnt = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("_nc"))
-    plen = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(
-        F.log(F.col("_nc") / F.lit(float(rows_per_bucket))) / F.lit(math.log(fanout))))).cast("int")
-    keyed = counts.join(per_cnt, "cnt").withColumn("_pl", plen)
-    pos = global_position(keyed, [F.desc("cnt"), F.asc("token")],
-                          [-F.col("cnt"), F.col("token").substr(F.lit(1), F.col("_pl"))], "pos").drop("_nc", "_pl")
+    pos = ranged_position(counts.select("token", "cnt"), [F.desc("cnt"), F.asc("token")], "pos", rows_per_bucket)
     words = pos.select("token", (F.col("pos") + 1).alias("id"), "cnt")
     return words.unionByName(_specials(counts.sparkSession).withColumn("cnt", F.lit(None).cast("bigint")))
 
@@ -126,25 +121,14 @@ def build_vocab_by_first_seen(sides: DataFrame, docs: DataFrame, key: str = "ite
 
 
 def _encode(docs: DataFrame, vocab: DataFrame, key: str, tokens_col: str, default: int | None,
-            hot_ids: int, max_len: int | None, keep: str) -> DataFrame:
+            counts: DataFrame | None, max_len: int | None, keep: str) -> DataFrame:
     toks = F.col(tokens_col)
     if max_len is not None:
         toks = F.slice(toks, 1, max_len) if keep == "head" else F.slice(
             toks, F.greatest(F.size(toks) - max_len, F.lit(0)) + 1, max_len)
     exploded = docs.select(key, F.posexplode(toks).alias("pos", "token"))
-    v = vocab.select("token", F.col("id").cast("int").alias("id"))
-    if hot_ids > 0:
-        hot = F.broadcast(v.where((F.col("id") >= 2) & (F.col("id") < hot_ids + 2)).withColumnRenamed("id", "hid"))
-        first = exploded.join(hot, "token", "left")
-        # one pass: tail rows join the vocabulary on 't'+token; hot rows (already resolved) carry an 'h'+hash
-        # key that matches nothing and spreads them instead of gathering them on one key
-        k = F.when(F.col("hid").isNull(), F.concat(F.lit("t"), F.col("token"))).otherwise(
-            F.concat(F.lit("h"), F.xxhash64(F.col(key), F.col("pos")).cast("string")))
-        vt = v.select(F.concat(F.lit("t"), F.col("token")).alias("_k"), "id")
-        joined = (first.withColumn("_k", k).join(vt, "_k", "left")
-                  .select(key, "pos", F.coalesce(F.col("hid"), F.col("id")).alias("id")))
-    else:
-        joined = exploded.join(v, "token", "left").select(key, "pos", "id")
+    # hot tokens are counted in the texts: a frequent token need not be in the vocabulary
+    joined = split_join(exploded, vocab.select("token", F.col("id").cast("int").alias("id")), "token", [key, "pos"], counts)
     if default is None:
         idc = F.assert_true(F.col("id").isNotNull(), "token not in vocabulary").isNull() & F.lit(True)
         joined = joined.withColumn("id", F.when(idc, F.col("id")))
@@ -157,19 +141,20 @@ def _encode(docs: DataFrame, vocab: DataFrame, key: str, tokens_col: str, defaul
     return enc.unionByName(empty)
 
 
-def encode_unk(docs, vocab, key="item_id", tokens_col="tokens", hot_ids=10_000, max_len=None, keep="head"):
-    """Token -> id, unknown -> ``<UNK>`` (1).  ``max_len`` slices before exploding."""
-    return _encode(docs, vocab, key, tokens_col, 1, hot_ids, max_len, keep)
+def encode_unk(docs, vocab, key="item_id", tokens_col="tokens", counts=None, max_len=None, keep="head"):
+    """Token -> id, unknown -> ``<UNK>`` (1).  ``max_len`` slices before exploding; ``counts(token, cnt)`` of the
+    texts, if at hand, saves counting them for the hot tokens."""
+    return _encode(docs, vocab, key, tokens_col, 1, counts, max_len, keep)
 
 
-def encode_zero(docs, vocab, key="item_id", tokens_col="tokens", hot_ids=10_000, max_len=None, keep="head"):
+def encode_zero(docs, vocab, key="item_id", tokens_col="tokens", counts=None, max_len=None, keep="head"):
     """Unknown -> 0 (shared with padding)."""
-    return _encode(docs, vocab, key, tokens_col, 0, hot_ids, max_len, keep)
+    return _encode(docs, vocab, key, tokens_col, 0, counts, max_len, keep)
 
 
-def encode_strict(docs, vocab, key="item_id", tokens_col="tokens", hot_ids=10_000):
+def encode_strict(docs, vocab, key="item_id", tokens_col="tokens", counts=None):
     """An unseen token fails the job (``assert_true``)."""
-    return _encode(docs, vocab, key, tokens_col, None, hot_ids, None, "head")
+    return _encode(docs, vocab, key, tokens_col, None, counts, None, "head")
 
 
 def pad_post_trunc_tail(ids: Column, length: int) -> Column:

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from kshot.functions.vectors import manhattan_similarity
 from kshot.operators.classify import Scorer, nearest_support
 from kshot.operators.metrics import multi_metrics
-from kshot.operators.splits import support_query_split
+from kshot.operators.splits import draw_support
 
 
 def classify(items: DataFrame, k: int = 1, seed=42, score: Scorer = manhattan_similarity,
              max_broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Predicted class index for every query item; returns ``(predictions, labels)``."""
-    tagged, labels = support_query_split(items, k, seed)
-    support = tagged.where(F.col("role") == "support").select("class_idx", "vec")
-    queries = tagged.where(F.col("role") == "query").select("item_id", F.col("class_idx").alias("actual"), "vec")
-    pred = nearest_support(queries, support, score, max_broadcast_rows=max_broadcast_rows)
+    support, queries, labels = draw_support(items, k, seed)
+    queries = queries.select("item_id", F.col("class_idx").alias("actual"), "vec")
+    pred = nearest_support(queries, support.select("class_idx", "vec"), score, max_broadcast_rows=max_broadcast_rows)
     return pred.select("item_id", "actual", "pred", "score"), labels
 
 

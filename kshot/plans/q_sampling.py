@@ -111,6 +111,21 @@ def q_sample_balanced_pairs(spark, sf):
     return D.sample_balanced_pairs(fx.items_text(spark, sf), 50, SEED)
 
 
+_NEG3 = ["neg", "neg1", "neg2"]
+
+
+@register("sample_balanced_pairs_neg3", f"""WITH {d1_ctes(S.ITEMS_TEXT, 20)},
+dn AS (SELECT class, round, off + x2 AS p2, j, CASE WHEN gg >= off THEN gg + n ELSE gg END AS p3 FROM (
+  {' UNION ALL '.join(f"SELECT *, {1 + j} AS j, {S.idx('NN - n', SEED, '@class', '@round', k)} AS gg FROM {_d1_last}"
+                      for j, k in enumerate(_NEG3))}))
+SELECT * FROM d1 WHERE pair_no = 0
+UNION ALL SELECT dn.class, dn.round, dn.j AS pair_no, a.item_id AS a, b.item_id AS b, 0 AS label
+FROM dn JOIN g a ON a.gpos = dn.p2 JOIN g b ON b.gpos = dn.p3""")
+def q_sample_balanced_pairs_neg3(spark, sf):
+    """D1 with three negatives a round."""
+    return D.sample_balanced_pairs(fx.items_text(spark, sf), 20, SEED, neg_samples=3)
+
+
 # ---------------------------------------------------------------- D2 / D3
 def _scoped_sql(items_cte: str, B: int, steps: int, min_n: int = 3, seed=SEED) -> str:
     ch, last = S.distinct_chain("st2", "n", 3, seed, ("@step", "@draw"))
@@ -264,6 +279,23 @@ def q_one_shot_tasks_scoped(spark, sf):
     return D.one_shot_tasks_scoped(fx.items_text(spark, sf), 20, 10, SEED)
 
 
+_D8_ALL = _d8_sql(n=2, tasks=10).replace("least(2, cs)", "cs").split("ng1 AS (", 1)[0]
+
+
+@register("one_shot_tasks_all_classes", f"""WITH {_D8_ALL}
+ng0 AS (SELECT t2.superclass, t2.task, t2.query, cl.class, cl.n,
+        row_number() OVER (PARTITION BY t2.superclass, t2.task ORDER BY
+            {S.md5key(SEED, '@t2.superclass', '@t2.task', '@cl.class')}, cl.class) AS pair_no
+        FROM t2 JOIN cl ON cl.superclass = t2.superclass AND cl.cidx <> t2.cidx),
+ng AS (SELECT ng0.superclass, ng0.task, ng0.pair_no, ng0.query, el.item_id AS support FROM ng0 JOIN el
+       ON el.class = ng0.class AND el.member_idx = {S.idx('ng0.n', SEED, '@ng0.superclass', '@ng0.task', '@ng0.class', 'm')})
+SELECT superclass, task, 0::INTEGER AS pair_no, query, positive AS support, 1 AS label FROM t2
+UNION ALL SELECT superclass, task, pair_no::INTEGER AS pair_no, query, support, 0 AS label FROM ng""")
+def q_one_shot_tasks_all_classes(spark, sf):
+    """D8 with every class of the superclass in each task (n = -1)."""
+    return D.one_shot_tasks_scoped(fx.items_text(spark, sf), -1, 10, SEED)
+
+
 def _d9_sql(n=5, tasks=100, seed=SEED) -> str:
     ch, last = S.distinct_chain("t1", "n", 2, seed, ("@task",))
     nneg = "C - 1" if n == -1 else str(n - 1)

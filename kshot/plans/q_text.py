@@ -12,6 +12,7 @@ from kshot.plans import fixtures as fx
 from kshot.plans import sqlkit as S
 from kshot.plans.q_sampling import _pairs_sql
 from kshot.plans.registry import register
+from kshot.session import staged
 
 SEED = 42
 TOK = S.tokens()
@@ -26,6 +27,13 @@ def _vocab_freq(spark, sf, low_freq=2, d=None):
     return B.build_vocab_by_freq(B.drop_rare(B.token_count(d), low_freq))
 
 
+def _encoded(spark, sf, encode, low_freq=2, **params):
+    """Documents encoded by their own frequency vocabulary; tokens are counted once."""
+    d = docs(spark, sf)
+    counts = staged(B.token_count(d), "counts")
+    return encode(d, B.build_vocab_by_freq(B.drop_rare(counts, low_freq)), counts=counts, **params)
+
+
 @register("tokenize", f"SELECT doc_id AS item_id, {TOK} AS tokens FROM documents")
 def q_tokenize(spark, sf):
     return docs(spark, sf).select("item_id", "tokens")
@@ -93,8 +101,7 @@ def q_build_vocab_by_first_seen(spark, sf):
 @register("encode_unk", f"""WITH {S.DTOK}, {S.vocab_freq_cte(2)}, {S.encode_cte('dtok', 'vocab', 1)}
 SELECT item_id, ids FROM enc""")
 def q_encode_unk(spark, sf):
-    d = docs(spark, sf)
-    return B.encode_unk(d, _vocab_freq(spark, sf, 2, d))
+    return _encoded(spark, sf, B.encode_unk)
 
 
 _HALF = f"""items AS (SELECT doc_id AS item_id, concat_ws('/', lang, source) AS class, text FROM documents),
@@ -120,15 +127,13 @@ def q_encode_zero(spark, sf):
 @register("encode_strict", f"""WITH {S.DTOK}, {S.vocab_freq_cte(0)}, {S.encode_cte('dtok', 'vocab', 1)}
 SELECT item_id, ids FROM enc""")
 def q_encode_strict(spark, sf):
-    d = docs(spark, sf)
-    return B.encode_strict(d, _vocab_freq(spark, sf, 0, d))
+    return _encoded(spark, sf, B.encode_strict, 0)
 
 
 @register("pad_post_trunc_tail", f"""WITH {S.DTOK}, {S.vocab_freq_cte(2)}, {S.encode_cte('dtok', 'vocab', 1)}
 SELECT item_id, list_concat(ids, {S.zeros(100)})[1:100] AS ids FROM enc""")
 def q_pad_post_trunc_tail(spark, sf):
-    d = docs(spark, sf)
-    enc = B.encode_unk(d, _vocab_freq(spark, sf, 2, d), max_len=100, keep="head")
+    enc = _encoded(spark, sf, B.encode_unk, max_len=100, keep="head")
     return enc.select("item_id", B.pad_post_trunc_tail(F.col("ids"), 100).alias("ids"))
 
 
@@ -136,8 +141,7 @@ def q_pad_post_trunc_tail(spark, sf):
 SELECT item_id, list_concat(ids[greatest(len(ids) - 100, 0) + 1 : greatest(len(ids) - 100, 0) + 100],
   {S.zeros(100)})[1:100] AS ids FROM enc""")
 def q_pad_post_trunc_head(spark, sf):
-    d = docs(spark, sf)
-    enc = B.encode_unk(d, _vocab_freq(spark, sf, 2, d), max_len=100, keep="tail")
+    enc = _encoded(spark, sf, B.encode_unk, max_len=100, keep="tail")
     return enc.select("item_id", B.pad_post_trunc_head(F.col("ids"), 100).alias("ids"))
 
 

@@ -29,7 +29,7 @@ def test_vocab_ids_and_encoding(spark):
     vocab = B.build_vocab_by_freq(B.drop_rare(B.token_count(docs), 1))
     v = {r.token: r.id for r in vocab.collect()}
     assert v == {"<PAD>": 0, "<UNK>": 1, "b": 2, "a": 3}
-    enc = {r.item_id: r.ids for r in B.encode_unk(docs, vocab, hot_ids=1).collect()}
+    enc = {r.item_id: r.ids for r in B.encode_unk(docs, vocab).collect()}
     assert enc == {1: [2, 3, 2, 1], 2: [3, 2, 1]}
     zero = {r.item_id: r.ids for r in B.encode_zero(docs, vocab).collect()}
     assert zero[2] == [3, 2, 0]
@@ -93,6 +93,6 @@ def test_vocab_positions_same_for_any_bucket_size(spark):
                                             F.concat(F.lit("x"), (F.col("id") % 13).cast("string"))).alias("tokens"))
     counts = B.token_count(toks)
     a = sorted(tuple(r) for r in B.build_vocab_by_freq(counts).select("token", "id").collect())
-    b = sorted(tuple(r) for r in B.build_vocab_by_freq(counts, rows_per_bucket=5, fanout=2.0).select("token", "id")
+    b = sorted(tuple(r) for r in B.build_vocab_by_freq(counts, rows_per_bucket=5).select("token", "id")
                .collect())
     assert a == b and sorted(i for _, i in a) == list(range(len(a)))
