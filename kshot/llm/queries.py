@@ -12,13 +12,16 @@ from kshot.llm import minhash_join as op10
 from kshot.llm import packing as op9
 from kshot.llm import pii as op6
 from kshot.llm import quality_gbt as op2
+from kshot.llm import sql_twins
 from kshot.llm import token_counts as op3
 from kshot.llm import toxicity as op8
 from kshot.llm import warc as op1
 from kshot.llm.common import held_out
 from kshot.session import shared_dir
 
-QUERIES, ORACLE = {}, {}
+QUERIES = {}
+ORACLE = {"op1_warc": sql_twins.WARC, "op4_decontaminate": sql_twins.DECONTAMINATE,
+          "op5_line_rules": sql_twins.LINE_RULES}
 
 
 def query(fn):
