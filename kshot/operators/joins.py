@@ -27,6 +27,7 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], c
     ones, which match nothing and travel apart.  ``counts(key, cnt)`` saves counting the keys.
     """
     payload = [c for c in table.columns if c != key]
+    table = staged(table, "side")      # read twice; Spark knows the size of a written table and broadcasts a small one
     if counts is None:
         counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
     hot = staged(hot_keys(counts, key, share=share).join(table, key, "left")
