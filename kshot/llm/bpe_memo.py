@@ -13,6 +13,7 @@ a T that the file's model does not build from its own text: such tokens are foun
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 
@@ -87,14 +88,21 @@ class Merger:
         return [raw[a:b - cut] for a, b in zip([0, *at], at)]
 
 
+@functools.lru_cache(maxsize=2)
+def model(path: str) -> tuple:
+    """Tokenizer and merger of a file, loaded once per worker process (both are only read)."""
+    tok = load(path)
+    return tok, Merger(tok)
+
+
 class Memo:
     """word -> ids as bytes (4 each; or their number, ``count``), in ``known`` after ``learn``.  ``lower``: the tokenizer lowers and drops
     white space; else one leading space belongs to a word.  An over-full memo starts anew between batches;
     its content never changes a result."""
 
     def __init__(self, path: str, lower: bool, limit: int, count: bool = False):
-        self.tok, self.lower, self.limit, self.count = load(path), lower, limit, count
-        self.merge, self.known = Merger(self.tok), {}
+        self.lower, self.limit, self.count, self.known = lower, limit, count, {}
+        self.tok, self.merge = model(path)
 
     def _whole(self, word: str) -> bytes | int:
         ids = self.tok.encode(word, add_special_tokens=False).ids
