@@ -8,10 +8,12 @@ gets two blocks, verifies all their pairs with numpy and returns one row per mem
 and the least node it is connected to).  A pair that agrees in several bands is counted in the first only;
 a bucket whose members all agree in one earlier band is skipped as a whole.
 
-Result: one row per document with ``class_id`` (the least doc_id of its connected group) and ``n_links``
-(documents at Jaccard >= threshold, copies included).  No cap on buckets, partners or candidates.
+Result: one row per document with ``class_id`` (the least doc_id of its connected group), ``n_links``
+(documents at Jaccard >= threshold, copies included) and ``class_root`` (the least node of the group).  Ids
+that are null or repeat can give several groups one ``class_id``; ``class_root`` always tells them apart.  No
+cap on buckets, partners or candidates.
 
-Edge cases: a text without words links to nothing and is its own class; null ids take part like others but
+Edge cases: a text without words links to nothing and is its own class, without a root; null ids take part like others but
 never name a class that has an id; repeated rows are copies of each other; extra columns stay as they are.
 """
 
@@ -208,10 +210,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N,
                     threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Every row of ``documents`` without its text, plus ``class_id`` and ``n_links``."""
+    """Every row of ``documents`` without its text, plus ``class_id``, ``n_links`` and ``class_root``."""
     bands, rows = choose_bands(threshold, recall)
     names = [f"b{i}" for i in range(bands)]
-    extra = [c for c in documents.columns if c not in (text, "class_id", "n_links")]
+    extra = [c for c in documents.columns if c not in (text, "class_id", "n_links", "class_root")]
     src = documents.select(F.struct(*extra).alias("kept"), F.col(text).alias("text"))
     src = src.withColumn("kept", F.struct(*[F.col("kept")[c].alias(c) for c in extra], F.xxhash64("text").alias("_th")))
     kept_type = src.schema["kept"].dataType.simpleString()
@@ -255,12 +257,12 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     group = staged(per.where("links is not null").groupBy("root").agg(F.min("least").alias("first")), "groups")
     per = per.join(group, "root", "left").select(
         "node", F.coalesce("first", "least").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+        (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.col("root").alias("class_root"))
     # written, so that AQE can split a node that many documents share
     out = docs.select("kept", "node").join(staged(per, "classes"), "node", "left")
     return out.select(*[F.col("kept")[c].alias(c) for c in extra],
                       F.coalesce("class_id", ident).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_root")
 
 
 def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
@@ -272,8 +274,9 @@ def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", *
                                                   F.xxhash64(text).alias("h")))
     judged = near_duplicates(keyed.select(doc_id, "_key", text), text, doc_id, **params)
     alone = F.col("n_links") == 0
-    # rows without links stand for themselves; a class of several is cut to its least (id, hash)
-    grouped = (judged.where(~alone).groupBy("class_id")
+    # rows without links stand for themselves; a class of several is cut to its least (id, hash); the root
+    # names the class, as ids may be null or repeat
+    grouped = (judged.where(~alone).groupBy("class_root")
                .agg(F.min(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"),
                                    F.col("_key").alias("k"))).alias("m")).select(F.col("m.k").alias("_key")))
     drop = (judged.where(~alone).select("_key").distinct()

@@ -93,6 +93,21 @@ def test_near_duplicate_edges_and_keep_one(spark):
     assert M.near_duplicates(frame(spark, EDGE[:1]).limit(0)).count() == 0
 
 
+def test_classes_without_ids_or_with_a_shared_id_stay_apart(spark):
+    base = [prose(random.Random(70 + i), 40) for i in range(4)]
+    near = [t + " tail" for t in base]              # 36 of 37 shingles in common
+    rows = [(None, base[0]), (None, near[0]), (None, base[1]), (None, near[1]), (None, base[1]),
+            (7, base[2]), (8, near[2]), (7, base[3]), (9, near[3]), (None, None), (None, "")]
+    got = M.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r.class_id, r.class_root is None, r.n_links) for r in got) == {
+        (None, False, 1): 2, (None, False, 2): 3, (7, False, 1): 4, (None, True, 0): 2}
+    assert sorted(Counter(r.class_root for r in got if r.n_links).values()) == [2, 2, 2, 3]
+    kept = Counter(r.text for r in M.keep_one(frame(spark, rows)).collect())
+    assert sum(kept.values()) == 6 and kept[None] == kept[""] == 1
+    assert all(kept[a] + kept[b] == 1 for a, b in zip(base, near))
+    assert kept[base[2]] == kept[base[3]] == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(50, 60)], "a long, b long")
     got = {r.node: r.root for r in M.components(edges).collect()}
