@@ -2,10 +2,14 @@
 
 Base kinds, leftmost and non-overlapping within a kind, failing matches dropped without a retry: ``email``;
 ``ip`` (parts at most 255); ``card`` (12 to 19 digits, Luhn); ``phone`` (``+``, 9 to 15 digits).  They always
-stay.  Added kinds: ``iban`` (mod-97) and ``local`` (a phone number without ``+``).  Every span has a score:
+stay.  Added kinds: ``iban`` and ``local`` (a phone number without ``+``).  Every span has a score:
 what its kind starts with, plus ``CONTEXT_BONUS`` if one of the kind's context words stands within ``reach``
 characters; added spans need ``min_score`` and must not overlap a base span.
 
+An IBAN is proposed by its first four characters alone.  Of the lengths at which a group may end after them, that
+of its country is tried first, then the longest (each, longest first, for a country without a fixed length); the
+first that mod-97 confirms is the span, so what follows in the text cannot hide it.  Spans do not overlap.
+
 The patterns are written with possessive repeats and look-behinds so that no text makes them backtrack; they
 match what the plain ones match.  Positions come from the text between the matches.
 
@@ -24,7 +28,15 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]*[\x20().0-9-][0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]{4}){2})"
+IBAN_LENGTHS = range(34, 14, -1)
+#: characters of an IBAN by country
+COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HN HU LB NI PL SV",
+    29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 NUMBER = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
 
 #: kind, pattern, a substring that a text must hold, score, context words; base kinds first, in their order
@@ -62,11 +74,32 @@ def _confirmed(kind: str) -> str:
         return f"length({d}) between 12 and 19 and {_luhn(d)}"
     if kind == "phone":
         return "length(translate(s.m, '+ ().-', '')) between 9 and 15"
-    if kind == "iban":
-        return f"length(replace(s.m, ' ', '')) between 15 and 34 and {_mod97('s.m')}"
     return "true"
 
 
+def _ibans() -> str:
+    """The IBANs among the matches ``found`` (beginnings only), as SQL; the leftmost of overlapping ones."""
+    def ending(n: int) -> str:
+        fours, rest = divmod(n - 4, 4)
+        tail = rf"(?:\x20?[A-Z0-9]{{{rest}}})" if rest else ""
+        return rf"^[A-Z0-9]{{4}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{tail}(?![A-Za-z0-9])"
+    window = max(IBAN_LENGTHS) + max(IBAN_LENGTHS) // 4 + 1         # with spaces and the character after it
+    ends = ", ".join(f"regexp_extract(s.w, {_sql(ending(n))}, 0)" for n in IBAN_LENGTHS)
+    fixed = "map(" + ", ".join(f"'{c}', {n}" for n, cs in COUNTRIES.items() for c in cs.split()) + ")"
+    return f"""aggregate(
+        transform(
+            transform(
+                transform(found, s -> named_struct('at', s.at, 'w', substring(body, s.at + 1, {window}))),
+                s -> named_struct('at', s.at, 'fixed', try_element_at({fixed}, substring(s.w, 1, 2)),
+                                  'ends', filter(array({ends}), e -> e <> ''))),
+            s -> named_struct('at', s.at, 'm', get(filter(
+                concat(filter(s.ends, e -> length(replace(e, ' ', '')) = s.fixed),
+                       if(s.fixed is null, s.ends, slice(s.ends, 1, 1))), e -> {_mod97('e')}), 0))),
+        cast(array() as array<struct<m: string, at: int>>),
+        (a, s) -> if(s.m is null or s.at < coalesce(get(a, size(a) - 1).at + length(get(a, size(a) - 1).m), 0),
+                     a, concat(a, array(named_struct('m', s.m, 'at', s.at)))))"""
+
+
 def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -86,15 +119,17 @@ def _propose(t: DataFrame, order: int, reach: int) -> DataFrame:
     t = t.withColumn("g", F.when(F.size("m") > 0, F.split("body", pattern, -1)))
     near = (f"lower(substring(body, greatest(1, s.at + 1 - {reach}), least(s.at, {reach}) + length(s.m) + {reach}))"
             f" rlike {_sql(words)}")
+    t = t.withColumn("found", F.expr("""
+        aggregate(m, named_struct('i', 0, 'at', 0, 'found', cast(array() as array<struct<m: string, at: int>>)),
+            (a, x) -> named_struct('i', a.i + 1, 'at', a.at + length(g[a.i]) + length(x),
+                'found', concat(a.found, array(named_struct('m', x, 'at', a.at + length(g[a.i]))))),
+            a -> a.found)"""))
+    if kind == "iban":
+        t = t.withColumn("found", F.expr(_ibans()))
     return t.withColumn(f"k{order}", F.expr(f"""transform(
-        filter(
-            aggregate(m, named_struct('i', 0, 'at', 0, 'found', cast(array() as array<struct<m: string, at: int>>)),
-                (a, x) -> named_struct('i', a.i + 1, 'at', a.at + length(g[a.i]) + length(x),
-                    'found', concat(a.found, array(named_struct('m', x, 'at', a.at + length(g[a.i]))))),
-                a -> a.found),
-            s -> {_confirmed(kind)}),
+        filter(found, s -> {_confirmed(kind)}),
         s -> named_struct('start', s.at, 'ord', {order}, 'kind', '{kind}', 'end', s.at + length(s.m),
-                          'score', cast({score} + if({near}, {CONTEXT_BONUS}, 0) as double)))""").cast(SPAN)).drop("m", "g")
+                          'score', cast({score} + if({near}, {CONTEXT_BONUS}, 0) as double)))""").cast(SPAN)).drop("m", "g", "found")
 
 
 def find(documents: DataFrame, text: str = "text", min_score: float = MIN_SCORE, reach: int = REACH) -> DataFrame:

@@ -213,6 +213,34 @@ def test_pii_base_and_added_spans(spark):
     assert red[1].text == "to [EMAIL], [PHONE] !" and red[2].text is None and red[1].spans == 2
 
 
+def test_iban_before_other_words(spark):
+    def iban(country, body):                            # check digits by ISO 13616
+        n = int("".join(str(int(c, 36)) for c in body + country + "00"))
+        return f"{country}{98 - n % 97:02d}{body}"
+    plain = [iban("BE", "539007547034"), iban("AT", "1904300234573201"), iban("CZ", "08000000192000145399"),
+             iban("GB", "WEST12345698765432"), iban("MT", "MALT011000012345MTLCAST001S")]
+    assert [len(x) for x in plain] == [16, 20, 24, 22, 31] and plain[0] == "BE68539007547034"
+    spaced = [" ".join(x[i:i + 4] for i in range(0, len(x), 4)) for x in plain]
+    after = [" Please pay", " EUR", " 2024", " 2024 EUR 100", " A", " 7", ", then", " " + plain[0], ""]
+    texts = [("account ", x, a) for x in plain + spaced for a in after]
+    rows = [(i, "".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in P.find(frame(spark, rows)).select("doc_id", "base_spans", "spans").collect()}
+    cards = 0
+    for i, (lead, x, a) in enumerate(texts):
+        want = [(len(lead), len(lead) + len(x))]
+        if a.endswith(plain[0]):
+            want.append((want[0][1] + 1, want[0][1] + len(a)))
+        base = got[i].base_spans                       # digits that pass Luhn by chance are a card, which stays
+        cards += len(base)
+        want = [w for w in want if not any(b.start < w[1] and w[0] < b.end for b in base)]
+        assert [(s.start, s.end) for s in got[i].spans if s.kind == "iban"] == want, rows[i]
+    assert cards < len(texts) / 4
+    red = P.redact(frame(spark, [(1, f"pay {spaced[0]} Please, {plain[1]} EUR")])).first()
+    assert red.text == "pay [IBAN] Please, [IBAN] EUR"
+    wrong = [(1, "account BE68 5390 0754 7035 Please pay"), (2, "code ZZ12 3456 7890"), (3, "xBE68539007547034 BE68539007547034x")]
+    assert P.find(frame(spark, wrong)).where("exists(spans, s -> s.kind = 'iban')").count() == 0
+
+
 def test_classifiers_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
