@@ -39,6 +39,8 @@ class Encoder:
 
     def __init__(self, path: str, memo: int = 300_000):
         self.memo = Memo(path, True, memo)
+        # matched before the normaliser, in their own case only
+        self.added = [t.content for t in self.memo.tok.get_added_tokens_decoder().values() if not t.normalized]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._words(t) if t else [] for t in texts]
@@ -46,10 +48,11 @@ class Encoder:
         get = self.memo.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
         if text.isascii():
-            text = text.lower()                          # the normaliser lowers character by character
+            low = text.lower()                           # the normaliser lowers character by character
+            if not any(t in low for t in self.added):
+                text = low
         if any(c in text for c in NOT_SPACE):
             return WORD.findall(text)
         return text.split()

@@ -161,6 +161,15 @@ def test_packing_is_whole_and_gapless(spark, corpus):
     assert K.pack(frame(spark, docs[:1]).limit(0), WORD).count() == 0
 
 
+def test_packing_special_strings_in_any_case():
+    tok, enc = load(WORD), K.Encoder(WORD)
+    texts = ["One <|ENDOFTEXT|> Two", "a<|EndOfText|>b", "<|endoftext|> X<|startoftext|>Y <|StartOfText|>", "plain Words, here",
+             "é <|EndOfText|>", "<|ENDOFTEXT|><|endoftext|>"]
+    for _ in range(2):                                  # the second time from the memo
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [
+            tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_line_rules_base_figures(spark, corpus):
     docs = corpus[0] + EDGE + [(800, "Home | News | Sport\n" + "A good line of prose stands here.\n" * 20), (801, "x y z x y z"),
                                (802, "Accept cookies to read on\n" * 30 + "One real sentence that stays.")]
