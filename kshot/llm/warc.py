@@ -129,24 +129,25 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
 
 def parse(data: bytes):
     """Records of one gzip file: (headers, block); inflated piece by piece."""
-    inflate, at, buf, step = zlib.decompressobj(31), 0, bytearray(), 1 << 18
+    inflate, at, buf, step = zlib.decompressobj(31), 0, bytearray(), 1 << 12
     pos = 0
 
     def more(n: int) -> bool:
-        nonlocal at, pos, inflate
+        nonlocal at, pos, inflate, step
         if pos > 1 << 20:
             del buf[:pos]
             pos = 0
         while len(buf) - pos < n:
+            if inflate.eof:                                   # next gzip member, after zero padding
+                at -= len(inflate.unused_data)
+                while data[at:at + 1] == b"\0":
+                    at += 1
+                inflate, step = zlib.decompressobj(31), 1 << 12
             if at >= len(data):
                 return False
-            if inflate.eof:                                   # next gzip member
-                rest = inflate.unused_data
-                inflate = zlib.decompressobj(31)
-                buf.extend(inflate.decompress(rest))
-                continue
-            buf.extend(inflate.decompress(data[at:at + step]))
-            at += step
+            part = data[at:at + step]
+            buf.extend(inflate.decompress(part))
+            at, step = at + len(part), min(2 * step, 1 << 18)   # small at first: what is over is read again
         return True
 
     while True:
@@ -156,7 +157,8 @@ def parse(data: bytes):
             return
         size = 1 << 11
         while (stop := buf.find(b"\r\n\r\n", pos)) < 0:
-            if not more(size):
+            had = len(buf) - pos
+            if not more(size) and len(buf) - pos == had:      # at the end, what came last may hold it
                 return
             size *= 2
         lines = bytes(buf[pos:stop]).decode("utf-8", "replace").split("\r\n")

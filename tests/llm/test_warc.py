@@ -70,6 +70,20 @@ def test_broken_records_are_reported(spark, tmp_path, fault, status):
     assert row.status == status and row.page_id == 5 and row.payload is None
 
 
+@pytest.mark.parametrize("size", [10, 3000, 400_000])
+def test_every_gzip_member_is_read(size):
+    import random
+    rng = random.Random(size)
+    recs = [r + b"\r\n\r\n" for i in range(40) for r in W.page_records(i, f"http://x/{i}", rng.randbytes(size), None, False, 0, 1 << 30)]
+    want = list(W.parse(gzip.compress(b"".join(recs))))
+    assert len(want) == 40
+    members = [gzip.compress(r) for r in recs]
+    assert list(W.parse(b"".join(members))) == want
+    assert list(W.parse((b"\0" * 600).join(members) + b"\0" * 600)) == want
+    cut = gzip.compress(recs[0][:50]) + gzip.compress(b"") + gzip.compress(recs[0][50:])
+    assert list(W.parse(cut)) == want[:1] and list(W.parse(b"")) == []
+
+
 def test_dechunk():
     assert W.dechunk(W.chunked(b"abc" * 9, 4)) == b"abc" * 9
     assert W.dechunk(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
