@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from kshot.llm import decontaminate as op4
+from kshot.llm import exact_dedup as op13
 from kshot.llm import langid as op7
 from kshot.llm import line_rules as op5
 from kshot.llm import minhash_join as op10
@@ -21,7 +22,7 @@ from kshot.session import shared_dir
 
 QUERIES = {}
 ORACLE = {"op1_warc": sql_twins.WARC, "op4_decontaminate": sql_twins.DECONTAMINATE,
-          "op5_line_rules": sql_twins.LINE_RULES}
+          "op5_line_rules": sql_twins.LINE_RULES, "op13_exact_dedup": sql_twins.EXACT_DEDUP}
 
 
 def query(fn):
@@ -105,3 +106,9 @@ def op9_packing(spark, sf_dir):
 @query
 def op10_near_duplicates(spark, sf_dir):
     return op10.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_exact_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op13.dedup(docs, history=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the operators that SQL can express: 1, 4 and 5 (whole tables, whole texts).
+"""DuckDB SQL of the operators that SQL can express: 1, 4, 5 and 11 to 13 (whole tables, whole texts).
 
 Operator 6 has none: its added kinds need look-behind, which DuckDB's patterns lack.
 """
@@ -70,3 +70,10 @@ o AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(ln.chars, 0)::BIGINT AS
       FROM d LEFT JOIN ln USING (r) LEFT JOIN nr USING (r))
 SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= {MAX_LOSS} AS kept FROM o"""
+
+
+EXACT_DEDUP = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c,
+  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY c DESC, doc_id) AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
