@@ -114,6 +114,23 @@ def text_runs(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, in
         a = b
 
 
+def lowered(data: bytes | np.ndarray):
+    """UTF-8 bytes with A-Z lowered."""
+    return bytes(_LOWER[np.frombuffer(data, np.uint8)]) if isinstance(data, bytes) else _LOWER[data]
+
+
+def sections(data: np.ndarray, max_bytes: int, word: np.ndarray = _WORD) -> Iterator[np.ndarray]:
+    """Pieces of one text of about ``max_bytes``, cut at bytes that are not ``word`` (a longer word stays whole)."""
+    a = 0
+    while a < len(data):
+        b = a + max_bytes
+        while b < len(data) and word[data[b]]:
+            gap = np.flatnonzero(~word[data[b:b + max_bytes]])
+            b += int(gap[0]) if len(gap) else max_bytes
+        yield data[a:b]
+        a = b
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where ``fn`` yields dicts of columns (name -> values) for a batch."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -9,6 +9,7 @@ from kshot.llm import decontaminate as op4
 from kshot.llm import exact_dedup as op13
 from kshot.llm import langid as op7
 from kshot.llm import line_rules as op5
+from kshot.llm import max_sketch_search as op11
 from kshot.llm import minhash_join as op10
 from kshot.llm import packing as op9
 from kshot.llm import pii as op6
@@ -22,7 +23,8 @@ from kshot.session import shared_dir
 
 QUERIES = {}
 ORACLE = {"op1_warc": sql_twins.WARC, "op4_decontaminate": sql_twins.DECONTAMINATE,
-          "op5_line_rules": sql_twins.LINE_RULES, "op13_exact_dedup": sql_twins.EXACT_DEDUP}
+          "op5_line_rules": sql_twins.LINE_RULES, "op11_max_sketch_search": sql_twins.SEARCH,
+          "op13_exact_dedup": sql_twins.EXACT_DEDUP}
 
 
 def query(fn):
@@ -108,6 +110,12 @@ def op10_near_duplicates(spark, sf_dir):
     return op10.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_max_sketch_search(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op11.search(docs, _table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_exact_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -72,6 +72,20 @@ SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= {MAX_LOSS} AS kept FROM o"""
 
 
+SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_op4_words('text')} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS nd, sum(len(w)) AS nt FROM d),
+i AS (SELECT row_number() OVER () AS q, item_id, {_op4_words('text')} AS w FROM benchmark),
+e AS (SELECT q, t, count(*) AS c FROM (SELECT q, unnest(w) AS t FROM i) GROUP BY q, t),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM e) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * nd) // nt AS m FROM d, s),
+x AS (SELECT q, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM e JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q, r),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+      FROM x JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 20"""
+
 EXACT_DEDUP = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c,
   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY c DESC, doc_id) AS keep_id,
