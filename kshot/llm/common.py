@@ -46,11 +46,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts: byte ``start``/``end``, owning ``doc``, ``hash``, ``count`` per text."""
+    """The words of a run of texts: byte ``start``/``end``, owning ``doc``, ``hash``, ``count`` per text.
+    ``kind`` says which bytes words are made of."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, kind: np.ndarray = _WORD):
         n_docs = len(offs) - 1
-        word = _WORD[data]
+        word = kind[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offs] = True
         before = np.empty_like(word)

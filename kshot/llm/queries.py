@@ -12,6 +12,7 @@ from kshot.llm import line_rules as op5
 from kshot.llm import max_sketch_search as op11
 from kshot.llm import minhash_join as op10
 from kshot.llm import packing as op9
+from kshot.llm import phrase_mining as op12
 from kshot.llm import pii as op6
 from kshot.llm import quality_gbt as op2
 from kshot.llm import sql_twins
@@ -24,7 +25,7 @@ from kshot.session import shared_dir
 QUERIES = {}
 ORACLE = {"op1_warc": sql_twins.WARC, "op4_decontaminate": sql_twins.DECONTAMINATE,
           "op5_line_rules": sql_twins.LINE_RULES, "op11_max_sketch_search": sql_twins.SEARCH,
-          "op13_exact_dedup": sql_twins.EXACT_DEDUP}
+          "op12_phrase_mining": sql_twins.PHRASES, "op13_exact_dedup": sql_twins.EXACT_DEDUP}
 
 
 def query(fn):
@@ -116,6 +117,11 @@ def op11_max_sketch_search(spark, sf_dir):
     return op11.search(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_phrase_mining(spark, sf_dir):
+    return op12.mine(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 @query
 def op13_exact_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

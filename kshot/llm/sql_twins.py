@@ -86,6 +86,26 @@ k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score
       FROM x JOIN d USING (r) WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 20"""
 
+PHRASES = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_lowered('text')} AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(0, len(w))) AS i FROM w WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM (SELECT lang, w[i + 1 : i + k] AS p FROM s, range(1, 6) r(k) WHERE i + k <= len(w))
+      GROUP BY lang, p HAVING count(*) >= 100),
+c AS (SELECT lang, p, f AS a, len(p) AS size FROM f WHERE len(p) > 1),
+x AS (SELECT c.lang, c.p, a, k, l.f AS l, r.f AS r, n::BIGINT AS n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+      FROM c JOIN range(1, 5) q(k) ON k < size JOIN f l ON l.lang = c.lang AND l.p = c.p[1 : k]
+      JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1 : size] JOIN n ON n.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS j FROM x),
+g AS (SELECT lang, p[1 : size - 1] AS p, a FROM c WHERE size > 2 UNION ALL SELECT lang, p[2 : size] AS p, a FROM c WHERE size > 2),
+m AS (SELECT lang, p, max(a) AS longer FROM g GROUP BY lang, p),
+k AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+      FROM b LEFT JOIN m ON m.lang = b.lang AND m.p = b.p WHERE j = 1 AND coalesce(longer < a, true)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+      FROM k)
+SELECT * FROM o WHERE rank <= 2000"""
+
 EXACT_DEDUP = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c,
   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY c DESC, doc_id) AS keep_id,
