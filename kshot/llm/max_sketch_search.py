@@ -6,15 +6,15 @@ rounded up beyond): the impact of a term grows with its frequency at a given doc
 maximum of frequencies is the maximum of impacts, and the index needs no corpus statistics.
 
 Search, for a block of queries together: a term's impact in a document is at most that of the least of its ``ROWS``
-coordinates, so weighted sums over a query's terms bound its score from above.  The ``k`` documents of the highest
-bounds are rescored exactly and their ``k``-th score is a threshold; every document whose bound reaches it is then
+coordinates, so weighted sums over a query's terms bound its score from above.  The ``SEEDS * k`` documents of the
+highest bounds are rescored exactly and their ``k``-th score is a threshold; every document whose bound reaches it is then
 rescored, in descending order of bound in each task, until bounds fall under the threshold or the ``k``-th best score
 met so far.  Nothing that could rank is skipped: the answers are exact, ties included.
 
 Scale: one pass over the texts writes the index and counts the queried terms' document frequencies; bounds read the
 index alone; texts are read again for the rescored documents only, which are picked during the scan by a broadcast of
 their keys (by a shuffle join once their list outgrows ``MAX_BYTES``).  Queries travel in blocks of about
-``BLOCK_BYTES`` of text; a map task returns at most ``k`` bounds a query.  A document's key is a hash of its id and
+``BLOCK_BYTES`` of text; a map task returns at most ``SEEDS * k`` bounds a query.  A document's key is a hash of its id and
 text, so rows are told apart without any numbering.  Long texts are cut into sections between words.
 
 Edge cases: null or empty text has no terms and is never found; a query without terms gets no rows; repeated queries
@@ -38,6 +38,7 @@ from kshot.llm.common import Words, lowered, mix, sections, text_runs
 from kshot.session import shared_dir, staged
 
 ROWS, PER_TERM = 4, 3
+SEEDS = 5
 RUN = 1 << 20
 BLOCK_BYTES = 1 << 20
 MAX_BYTES = 32 << 20
@@ -294,7 +295,8 @@ def rescore(docs: DataFrame, picked: DataFrame, block: Queries, k: int, id_col:
 def _search_block(docs: DataFrame, index: DataFrame, block: Queries, k: int, id_col: str, text_col: str) -> DataFrame:
     """``query``, ``rank``, ``id``, ``score`` of one block."""
     best_first = Window.partitionBy("query").orderBy(F.desc("bound"), "key")
-    seeds = staged(highest_bounds(index, block, k).withColumn("r", F.row_number().over(best_first)).where(F.col("r") <= k)
+    first = SEEDS * k
+    seeds = staged(highest_bounds(index, block, first).withColumn("r", F.row_number().over(best_first)).where(F.col("r") <= first)
                    .groupBy("key", "id").agg(F.collect_set("query").alias("asked"), F.max("bound").alias("bound"))
                    .select("key", "id", "asked", F.transform("asked", lambda _: F.col("bound")).alias("bounds")),
                    "search_seeds")
