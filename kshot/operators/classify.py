@@ -1,9 +1,9 @@
 """Nearest-support classification and one-shot scoring.
 
-The support set (C classes x k shots) is the only thing compared with every query.  When its row
-count is under ``max_broadcast_rows`` it travels as one broadcast ``array<struct>`` row and the argmax
-is a row-local ``aggregate`` - no query x support rows, no shuffle of the queries.  Above the bound the
-support is cut into chunks of bounded size and queries meet chunks through a salted equi-join, the
+The support set (C classes x k shots) is the only thing compared with every query; no query x support rows are made.
+Manhattan and cosine run in block kernels (``operators.nearest``).  Any other scorer is a ``(Column, Column) -> Column``
+expression: a support set under ``max_bytes`` travels as one broadcast ``array<struct>`` row and the argmax is a row-local
+``aggregate``; a larger one is cut by hash into chunks of that size, queries meet chunks through a salted equi-join, the
 best per chunk is kept row-locally and a partial ``max_by`` per query finishes.
 """
 
@@ -14,75 +14,60 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kshot.functions.vectors import l1_distance, manhattan_similarity
-from kshot.session import cut_lineage
+from kshot.functions.vectors import manhattan_similarity
+from kshot.operators.nearest import KERNELS, MAX_BYTES, nearest_in_blocks, row_bytes, vector_bytes, write_support
+from kshot.session import staged
 
 Scorer = Callable[[Column, Column], Column]
 
 NEG_INF = float("-inf")
 
 
-#: What a scorer is ranked by where its value can lose the order (exp of a large distance is 0 for all).
-RANK: dict[Scorer, Scorer] = {manhattan_similarity: lambda a, b: -l1_distance(a, b)}
-
-
 def _best_in(arr: Column, qvec: Column, score: Scorer) -> Column:
     """Row-local argmax over an ``array<struct<class_idx, vec>>`` sorted by class_idx.
 
-    Returns ``struct(rank, sim, class_idx)``, chosen by the unrounded rank; the lowest class index wins a tie.
+    Returns ``struct(sim, class_idx)``; the lowest class index wins a tie.
     """
-    rank = RANK.get(score, score)
     scored = F.transform(arr, lambda s: F.struct(
-        F.coalesce(rank(qvec, s["vec"]), F.lit(NEG_INF)).alias("rank"),
-        F.coalesce(score(qvec, s["vec"]), F.lit(NEG_INF)).alias("sim"),
-        s["class_idx"].alias("class_idx")))
-    init = F.struct(F.lit(None).cast("double").alias("rank"), F.lit(None).cast("double").alias("sim"),
-                    F.lit(None).cast("int").alias("class_idx"))
+        F.coalesce(score(qvec, s["vec"]), F.lit(NEG_INF)).alias("sim"), s["class_idx"].alias("class_idx")))
+    init = F.struct(F.lit(None).cast("double").alias("sim"), F.lit(None).cast("int").alias("class_idx"))
     return F.aggregate(scored, init, lambda acc, s: F.when(
-        acc["class_idx"].isNull() | (s["rank"] > acc["rank"]), s).otherwise(acc))
-
-
-def support_rows(support: DataFrame, vec: str = "vec") -> DataFrame:
-    return support.select(F.col("class_idx").cast("int").alias("class_idx"), F.col(vec).alias("vec"))
+        acc["class_idx"].isNull() | (s["sim"] > acc["sim"]), s).otherwise(acc))
 
 
 def nearest_support(queries: DataFrame, support: DataFrame, score: Scorer = manhattan_similarity,
                     query_vec: str = "vec", support_vec: str = "vec", query_key: str = "item_id",
-                    max_broadcast_rows: int = 200_000,
-                    queries_per_task: int = 200_000) -> DataFrame:
+                    max_broadcast_rows: int | None = None, queries_per_task: int = 200_000,
+                    max_bytes: int = MAX_BYTES, counted: bool = False) -> DataFrame:
     """D11 + F1: add ``pred`` (class index of the most similar support) and ``score`` to ``queries``.
 
-    The support rows (classes x shots, far fewer than items) are checkpointed into the shared folder
-    once, so the size check and the join read them without recomputing the item pass.
+    The support rows (classes x shots, far fewer than items) are written once, so the size check and the comparison read
+    them without recomputing the item pass.  They go to every task only under ``max_bytes`` of vectors (and
+    ``max_broadcast_rows`` rows, where given).  ``counted`` adds ``compared``, the number of supports a query was compared
+    with (block kernels only).
     """
-    sup = cut_lineage(support_rows(support, support_vec))
-    n_sup = sup.count()   # size check before any broadcast
-    qv = F.col(query_vec)
-    if n_sup <= max_broadcast_rows:
-        packed = sup.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup"))
-        best = _best_in(F.col("_sup"), qv, score)
-        return (queries.crossJoin(F.broadcast(packed))
-                .withColumn("_best", best)
+    sup = write_support(support, support_vec)
+    if max_broadcast_rows is not None:
+        max_bytes = min(max_bytes, max_broadcast_rows * row_bytes(sup, "vec"))
+    if score in KERNELS:
+        return nearest_in_blocks(queries, sup, KERNELS[score], query_vec, max_bytes, counted, queries_per_task)
+    size, qv = vector_bytes(sup, "vec"), F.col(query_vec)
+    packed = F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup")
+    if size <= max_bytes:
+        return (queries.crossJoin(F.broadcast(sup.agg(packed)))
+                .withColumn("_best", _best_in(F.col("_sup"), qv, score))
                 .select(*queries.columns, F.col("_best.class_idx").alias("pred"), F.col("_best.sim").alias("score")))
-    # Large support: bounded chunks, salted equi-join, partial max_by per query.
-    per_class = sup.groupBy("class_idx").count().agg(F.max("count")).first()[0]
-    classes_per_chunk = max(1, max_broadcast_rows // max(1, per_class))
-    chunks = (sup.withColumn("chunk", (F.col("class_idx") / classes_per_chunk).cast("int"))
-              .groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup")))
-    n_chunks = chunks.count()
-    n_q = queries.count()
-    salts = max(1, -(-n_q // queries_per_task))
-    q = (queries.withColumn("_salt", F.pmod(F.xxhash64(F.col(query_key)), F.lit(salts)))
+    n_chunks = -(-size // max_bytes)
+    chunks = sup.groupBy(F.pmod(F.xxhash64("class_idx", "vec"), F.lit(n_chunks)).cast("int").alias("chunk")).agg(packed)
+    kept = staged(queries.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    salts = max(1, -(-kept.count() // queries_per_task))
+    q = (kept.select("_row", qv.alias("_vec"), F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt"))
          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
     c = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    local = (q.join(c, ["chunk", "_salt"])
-             .withColumn("_best", _best_in(F.col("_sup"), qv, score))
-             .select(query_key, F.col("_best.rank").alias("rank"), F.col("_best.sim").alias("sim"),
-                     F.col("_best.class_idx").alias("cidx")))
-    best = local.groupBy(query_key).agg(
-        F.max_by(F.struct("cidx", "sim"), F.struct(F.col("rank"), -F.col("cidx"))).alias("_b"))
-    return (queries.join(best, query_key)
-            .select(*queries.columns, F.col("_b.cidx").alias("pred"), F.col("_b.sim").alias("score")))
+    local = (q.join(c, ["chunk", "_salt"]).withColumn("_best", _best_in(F.col("_sup"), F.col("_vec"), score))
+             .select("_row", F.col("_best.sim").alias("sim"), F.col("_best.class_idx").alias("cidx")))
+    best = local.groupBy("_row").agg(F.max(F.struct("sim", (-F.col("cidx")).alias("minus"))).alias("_b"))
+    return kept.join(best, "_row").select(*queries.columns, (-F.col("_b.minus")).alias("pred"), F.col("_b.sim").alias("score"))
 
 
 def nearest_support_pairs(pairs: DataFrame, query_key: str = "query", sim: str = "sim") -> DataFrame:

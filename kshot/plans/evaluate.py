@@ -15,7 +15,7 @@ from kshot.session import staged
 
 
 def classify(items: DataFrame, k: int = 1, seed=42, score: Scorer = manhattan_similarity,
-             max_broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+             max_broadcast_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Predicted class index for every query item; returns ``(predictions, labels)``."""
     support, queries, labels = draw_support(items, k, seed)
     queries = queries.select("item_id", F.col("class_idx").alias("actual"), "vec")
@@ -24,7 +24,7 @@ def classify(items: DataFrame, k: int = 1, seed=42, score: Scorer = manhattan_si
 
 
 def classify_and_score(items: DataFrame, k: int = 1, seed=42, score: Scorer = manhattan_similarity,
-                       beta: float = 1.0, max_broadcast_rows: int = 200_000) -> DataFrame:
+                       beta: float = 1.0, max_broadcast_rows: int | None = None) -> DataFrame:
     """One row ``(accuracy, recall, precision, f_beta)`` (macro over all classes)."""
     pred, labels = classify(items, k, seed, score, max_broadcast_rows)
     return multi_metrics(pred, labels, "pred", "actual", beta, label_col="class_idx")

@@ -9,8 +9,8 @@ from kshot.plans import fixtures as fx
 from kshot.plans import sqlkit as S
 from kshot.plans.q_classify import f1_sql
 from kshot.plans.registry import register
-from kshot.session import shared_dir
-from kshot.streaming.stream import (classify_stream_batches, parquet_stream, run_to_parquet, stream_binary_metrics,
+from kshot.session import shared_dir, staged
+from kshot.streaming.stream import (classify_stream_batches, fits_stream, parquet_stream, run_to_parquet, stream_binary_metrics,
                                     stream_classify, utc_day, utc_instant)
 
 SEED = 42
@@ -27,10 +27,10 @@ def q_stream_classify(spark, sf):
          .join(sup_ids, "item_id", "left_anti")
          .join(labels, "class").select("item_id", F.col("class_idx").alias("actual"), "vec"))
     path = shared_dir(spark, "stream_classify")
-    try:
-        out = stream_classify(q, support)
-        run_to_parquet(out, path + "/out", path + "/ckpt")
-    except ValueError:   # support above the broadcast bound: classify each micro-batch in batch mode
+    support = staged(support, "support")
+    if fits_stream(support):
+        run_to_parquet(stream_classify(q, support), path + "/out", path + "/ckpt")
+    else:
         classify_stream_batches(q, support, path + "/out", path + "/ckpt")
     res = spark.read.parquet(path + "/out")
     return res.select("item_id", F.col("actual").cast("bigint").alias("actual"),

@@ -1,7 +1,8 @@
 """Streaming nearest-support classification (K1) and windowed binary metrics (K2).
 
-K1 keeps the top-1 row-local: the support set travels as one broadcast ``array<struct>`` row, so the
-stream-static join needs no state and runs in append mode.  K2 is a watermarked event-time window
+K1 keeps the top-1 row-local: a support set under the byte bound goes to every task as a matrix (or, for a scorer
+without a block kernel, as one broadcast ``array<struct>`` row), so the stream-static comparison needs no state and
+runs in append mode; above the bound micro-batches are classified in batch mode.  K2 is a watermarked event-time window
 aggregation; a window is emitted once the watermark passes its end (late rows are dropped).
 Sinks are parquet files in the shared folder with a checkpoint location (exactly-once).
 """
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kshot.functions.vectors import manhattan_similarity
-from kshot.operators.classify import Scorer, _best_in, support_rows
+from kshot.operators.classify import Scorer, _best_in, nearest_support
 from kshot.operators.metrics import f_beta_expr
+from kshot.operators.nearest import KERNELS, MAX_BYTES, nearest_in_blocks, vector_bytes, write_support
 
 
 def parquet_stream(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
@@ -31,12 +33,19 @@ def utc_day(ts: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(ts) / 86400).cast("int")).cast("string")
 
 
+def fits_stream(support: DataFrame, max_bytes: int = MAX_BYTES, vec: str = "vec") -> bool:
+    """Whether ``stream_classify`` takes the support set; else ``classify_stream_batches`` does."""
+    return vector_bytes(support, vec) <= max_bytes
+
+
 def stream_classify(queries: DataFrame, support: DataFrame, score: Scorer = manhattan_similarity,
-                    query_vec: str = "vec", max_broadcast_rows: int = 200_000) -> DataFrame:
+                    query_vec: str = "vec", max_bytes: int = MAX_BYTES) -> DataFrame:
     """K1: streaming queries x static support -> ``pred``, ``score`` per query row (no state)."""
-    sup = support_rows(support)
-    if sup.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
-        raise ValueError("support set above the broadcast bound; use classify_stream_batches")
+    sup = write_support(support)
+    if not fits_stream(sup, max_bytes):
+        raise ValueError("support set above the byte bound; use classify_stream_batches")
+    if score in KERNELS:
+        return nearest_in_blocks(queries, sup, KERNELS[score], query_vec, max_bytes)
     packed = sup.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("_sup"))
     best = _best_in(F.col("_sup"), F.col(query_vec), score)
     return (queries.crossJoin(F.broadcast(packed)).withColumn("_best", best)
@@ -63,12 +72,10 @@ def stream_binary_metrics(scored: DataFrame, window: str = "1 day", watermark: s
 
 def classify_stream_batches(queries: DataFrame, support: DataFrame, path: str, checkpoint: str,
                             score: Scorer = manhattan_similarity, query_key: str = "item_id",
-                            max_broadcast_rows: int = 200_000) -> None:
+                            max_broadcast_rows: int | None = None) -> None:
     """K1 for any support size: every micro-batch is classified with the batch operator (broadcast or
     chunked, salted path) and written to ``path/batch_id=<id>`` with overwrite, so a replayed batch
     replaces its own output (exactly-once effect with the checkpointed source offsets)."""
-    from kshot.operators.classify import nearest_support
-
     def per_batch(df: DataFrame, batch_id: int) -> None:
         out = nearest_support(df, support, score, query_key=query_key, max_broadcast_rows=max_broadcast_rows)
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
