@@ -36,3 +36,17 @@ def test_headline_plans_stay_in_the_jvm(spark):
         plan = _plan(queries()[n](spark, SF001))
         for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
             assert node not in plan, (n, node)
+
+
+def test_entry_survives_a_failing_import_of_the_training_data_queries(monkeypatch):
+    import sys
+    import warnings
+
+    import __spark_entry__ as entry
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)          # importing it raises ImportError
+    for name in [m for m in sys.modules if m.startswith("kshot.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert "classify_and_score" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
+        assert "pipeline" not in entry.oracle_sql()
