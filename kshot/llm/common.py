@@ -148,16 +148,34 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name`` with underscores before it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept out of every fit: crc32 of the id as text, mod 4, is 2 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_rows(df: DataFrame, key: Column, rows: int, total: int, seed: int = 7) -> DataFrame:
-    """About ``rows`` of ``total`` rows by a keyed hash (the same rows on every evaluation)."""
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+def labelled_rows(documents: DataFrame, labels: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows of ``documents`` joined with ``labels`` (both by ``doc_id``; ids of labels are distinct).
+
+    First ids are drawn by a keyed hash, ``rows`` of the distinct ones; where ids repeat in ``documents``, rows are then
+    drawn from what was joined, so that the bound holds for rows as well.  The same rows on every evaluation."""
+    ids = labels.count()
+    if ids > rows:
+        labels = labels.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / ids))
+    labels = F.broadcast(labels)                       # about ``rows`` ids
+    met = documents.select("doc_id").join(labels, "doc_id", "left_semi").count()
+    if met > 1.25 * rows:
+        row = free("_row", documents.columns)
+        draw = F.pmod(F.xxhash64(F.lit(seed), row), F.lit(1 << 30)) < int((1 << 30) * rows / met)
+        documents = documents.withColumn(row, F.monotonically_increasing_id()).where(draw).drop(row)
+    return documents.join(labels, "doc_id")
 
 
 def listed(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:

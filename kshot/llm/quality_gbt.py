@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kshot.llm.common import Words, held_out, map_batches, mix, sample_rows, text_runs
+from kshot.llm.common import Words, held_out, labelled_rows, map_batches, mix, text_runs
 
 MAX_ROWS, SEED = 20_000, 7
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32, 9, 11, 12, 13),
@@ -167,9 +167,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, tex
     """Fit on about ``max_rows`` labelled rows outside the held-out part."""
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .select("doc_id", F.col("quality").cast("int").alias("quality")))
-    part = sample_rows(known, F.col("doc_id"), max_rows, known.count(), SEED).groupBy("doc_id").agg(
-        F.max("quality").alias("quality"))
-    rows = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(part), "doc_id")   # about max_rows ids
+    part = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = labelled_rows(documents.select("doc_id", F.col(text).alias("text")), part, max_rows, SEED)
 
     def fn(batch):
         for a, b, data, offs in text_runs(batch.column("text")):

@@ -5,8 +5,9 @@ from the second on also over the log-odds of all earlier categories.  In trainin
 out-of-fold predictions (``folds`` folds by a hash of the row), so a later model sees earlier ones as wrong as
 they are on new texts; in prediction they come from the models fitted on all rows.
 
-They are hashed to ``SLOTS``; of these each category keeps the ``PER_CATEGORY`` with the largest z value between
-its texts and the others (at least ``MIN_Z``).  Any list of 0/1 label columns can be a chain.
+They are hashed to ``SLOTS``; a category keeps every slot whose share of its texts differs from that of the others by at
+least ``MIN_Z`` standard errors, however many those are.  The models are fitted on the sparse slots by Newton steps whose
+equations are solved by conjugate gradients.  Any list of 0/1 label columns can be a chain.
 
 Scale: fitted on about ``max_rows`` labelled rows (keyed hash sample, bound is the parameter); prediction is
 one pass without a shuffle over whole texts.
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kshot.llm.common import Words, held_out, map_batches, mix, sample_rows, text_runs
+from kshot.llm.common import Words, held_out, labelled_rows, map_batches, mix, text_runs
 
 PREFIXES = (4, 6, 8)
-SLOTS, PER_CATEGORY, MIN_Z, MAX_ROWS, FOLDS, SEED = 1 << 19, 192, 4.0, 12_000, 4, 13
+SLOTS, MIN_Z, MAX_ROWS, FOLDS, SEED = 1 << 19, 4.0, 12_000, 4, 13
 
 
 def word_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,19 +40,79 @@ def word_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([d for d, _ in parts]), slot
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Weights and bias (last) by Newton steps; the bias is not penalised."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    pen = np.full(x.shape[1], l2)
+class _Sums:
+    """Sums of runs: values gathered by ``take``, added up by ``key`` (below ``size``)."""
+
+    def __init__(self, key: np.ndarray, take: np.ndarray, size: int):
+        order = np.argsort(key, kind="stable")
+        self.take, self.size = take[order], size
+        self.keys, self.start = np.unique(key[order], return_index=True)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.keys):
+            out[self.keys] = np.add.reduceat(values[self.take], self.start)
+        return out
+
+
+class Slots:
+    """Texts as sparse 0/1 rows: ``text`` has ``feature``; ``dense`` columns beside them, a bias last."""
+
+    def __init__(self, text: np.ndarray, feature: np.ndarray, size: int, dense: np.ndarray):
+        self.text, self.feature, self.size, self.dense, self.n = text, feature, size, dense, len(dense)
+        self.by_text, self.by_feature = _Sums(text, feature, self.n), _Sums(feature, text, size)
+
+    def rows(self, which: np.ndarray) -> Slots:
+        """The texts of a mask."""
+        number, inside = np.cumsum(which) - 1, which[self.text]
+        return Slots(number[self.text[inside]], self.feature[inside], self.size, self.dense[which])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self.by_text(w[:self.size]) + self.dense @ w[self.size:-1] + w[-1]
+
+    def back(self, r: np.ndarray, power: int = 1) -> np.ndarray:
+        """Sums of ``r`` over the texts of every column (times the column's value to ``power``)."""
+        return np.concatenate((self.by_feature(r), (self.dense ** power).T @ r, [r.sum()]))
+
+
+def fit_logistic(x: Slots, y: np.ndarray, l2: float = 1.0, steps: int = 30, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and bias (last) by Newton steps; the bias is hardly penalised.  The fit ends where the gradient, in units
+    of the curvature, has fallen to a hundred-thousandth."""
+    pen = np.full(x.size + x.dense.shape[1] + 1, l2)
     pen[-1] = 1e-6
+    w = np.zeros(len(pen)) if start is None else start.copy()
+
+    def loss(z: np.ndarray, v: np.ndarray) -> float:
+        return float((np.logaddexp(0, z) - y * z).sum() + (pen * v * v).sum() / 2)
+    z = x.times(w)
+    now, first = loss(z, w), None
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         h = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * h[:, None]) + np.diag(pen), x.T @ (p - y) + pen * w)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+        grad = x.back(p - y) + pen * w
+        scale = 1 / (x.back(h, 2) + pen)
+        size = grad @ (scale * grad)
+        first = size if first is None else first
+        if size <= 1e-10 * max(first, 1.0):
             break
+        step, left = np.zeros(len(w)), grad.copy()
+        move, energy = scale * left, size
+        for _ in range(60):                       # far from the optimum rough steps do
+            if energy <= max(1e-4, min(0.1, size / max(first, 1.0))) * size:
+                break
+            curved = x.back(h * x.times(move)) + pen * move
+            far = energy / (move @ curved)
+            step += far * move
+            left -= far * curved
+            old, energy = energy, left @ (scale * left)
+            move = scale * left + energy / old * move
+        while True:
+            ahead = x.times(w - step)
+            new = loss(ahead, w - step)
+            if new <= now + 1e-9 * abs(now) or np.abs(step).max() < 1e-9:
+                break
+            step /= 2
+        w, z, now = w - step, ahead, new
     return w
 
 
@@ -91,7 +152,7 @@ def fit_chain(bags: list[np.ndarray], y: np.ndarray, fold: np.ndarray, categorie
     flat = np.concatenate(bags)
     owner = np.repeat(np.arange(n), [len(b) for b in bags])
     df = np.bincount(flat, minlength=SLOTS)
-    keep: set[int] = set()
+    keep = np.zeros(SLOTS, bool)
     for c in range(y.shape[1]):
         pos = y[:, c].sum()
         if not 0 < pos < n:
@@ -99,15 +160,11 @@ def fit_chain(bags: list[np.ndarray], y: np.ndarray, fold: np.ndarray, categorie
         a = np.bincount(flat, y[owner, c], minlength=SLOTS)
         pooled = df / n
         se = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / pos + 1 / (n - pos)))
-        z = np.where(df >= 3, np.abs(a / pos - (df - a) / (n - pos)) / se, 0)
-        top = np.lexsort((np.arange(SLOTS), -z))[:PER_CATEGORY]
-        keep |= set(top[z[top] >= MIN_Z].tolist())
-    slot_at = np.full(SLOTS, -1)
-    chosen = np.array(sorted(keep), dtype=np.int64)
+        keep |= (df >= 3) & (np.abs(a / pos - (df - a) / (n - pos)) >= MIN_Z * se)
+    slot_at, chosen = np.full(SLOTS, -1), np.flatnonzero(keep)
     slot_at[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float32)
-    sel = slot_at[flat] >= 0
-    x[owner[sel], slot_at[flat[sel]]] = 1
+    sel = keep[flat]
+    x = Slots(owner[sel], slot_at[flat[sel]], len(chosen), np.zeros((n, 0)))
     weights = []
     for c in range(y.shape[1]):
         weights.append(fit_logistic(x, y[:, c]))
@@ -115,9 +172,9 @@ def fit_chain(bags: list[np.ndarray], y: np.ndarray, fold: np.ndarray, categorie
         for k in range(folds):
             out = fold == k
             if out.any():
-                w = fit_logistic(x[~out], y[~out, c]) if (~out).any() else np.zeros(x.shape[1] + 1)
-                oof[out] = x[out] @ w[:-1] + w[-1]
-        x = np.concatenate([x, np.clip(oof, -8, 8)[:, None].astype(np.float32)], axis=1)
+                w = fit_logistic(x.rows(~out), y[~out, c], start=weights[-1]) if (~out).any() else np.zeros(len(weights[-1]))
+                oof[out] = x.rows(out).times(w)
+        x = Slots(x.text, x.feature, x.size, np.concatenate((x.dense, np.clip(oof, -8, 8)[:, None]), axis=1))
     return Chain(categories, slot_at, weights)
 
 
@@ -128,9 +185,8 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column]
     names = list(categories)
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).select(
         "doc_id", *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())])
-    part = sample_rows(known, F.col("doc_id"), max_rows, known.count(), SEED).groupBy("doc_id").agg(
-        *[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
-    rows = (documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(part), "doc_id")   # about max_rows ids
+    part = known.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
+    rows = (labelled_rows(documents.select("doc_id", F.col(text).alias("text")), part, max_rows, SEED)
             .select("text", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"),
                     F.array(*[F.col(f"y{i}") for i in range(len(names))]).alias("y")))
 
