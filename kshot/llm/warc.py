@@ -12,7 +12,11 @@ are read; only segments are shuffled: grouped by origin id, ordered by segment n
 for the total length, then decoded.  A group is one record.  Every payload's SHA-1 is compared with the header.
 
 ``status``: ok, gap (missing or repeated segment), length (total length differs), framing (bad chunked
-framing), digest (payload digest differs); records that are not ok keep their row, without a payload.
+framing), digest (payload digest differs), other (a record type besides response and revisit), header (no usable
+length: the rest of the file cannot be cut and is skipped), truncated (the file ends inside the record or its gzip
+stream), gzip (damaged stream); records that are not ok keep their row, without a payload.  Archives from elsewhere
+are read as well: ``record_id`` holds any record id, ``page_id`` is null unless the id is one of the writer's, and a
+record without a base32 SHA-1 payload digest is taken as it is.
 
 Edge cases: a null html is an empty payload; a null id is written as ``null`` and read back as null, and it
 is never the largest of its group unless all are null; rows with the group's largest id are all responses;
@@ -128,12 +132,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
 
 
 def parse(data: bytes):
-    """Records of one gzip file: (headers, block); inflated piece by piece."""
+    """Records of one gzip file: (headers, block); inflated piece by piece.  What is wrong with a record, or with the
+    end of the file, stands in its headers under ``PROBLEM``."""
     inflate, at, buf, step = zlib.decompressobj(31), 0, bytearray(), 1 << 12
-    pos = 0
+    pos, fed, damaged = 0, False, False
 
     def more(n: int) -> bool:
-        nonlocal at, pos, inflate, step
+        nonlocal at, pos, inflate, step, fed, damaged
         if pos > 1 << 20:
             del buf[:pos]
             pos = 0
@@ -142,64 +147,94 @@ def parse(data: bytes):
                 at -= len(inflate.unused_data)
                 while data[at:at + 1] == b"\0":
                     at += 1
-                inflate, step = zlib.decompressobj(31), 1 << 12
-            if at >= len(data):
+                inflate, step, fed = zlib.decompressobj(31), 1 << 12, False
+            if at >= len(data) or damaged:
                 return False
             part = data[at:at + step]
-            buf.extend(inflate.decompress(part))
+            try:
+                buf.extend(inflate.decompress(part))
+            except zlib.error:
+                damaged = True
+                return False
+            fed = True
             at, step = at + len(part), min(2 * step, 1 << 18)   # small at first: what is over is read again
         return True
 
+    def ending() -> dict[str, str]:
+        """What the end of the file lacks, if anything."""
+        return {PROBLEM: "gzip"} if damaged else {PROBLEM: "truncated"} if fed and not inflate.eof else {}
+
     while True:
         while more(2) and buf[pos:pos + 2] == CRLF:
             pos += 2
         if not more(1):
+            if ending():
+                yield ending(), b""
             return
         size = 1 << 11
         while (stop := buf.find(b"\r\n\r\n", pos)) < 0:
             had = len(buf) - pos
             if not more(size) and len(buf) - pos == had:      # at the end, what came last may hold it
+                yield ending() or {PROBLEM: "truncated"}, bytes(buf[pos:])
                 return
             size *= 2
         lines = bytes(buf[pos:stop]).decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(headers.get("content-length", "0"))
+        length = headers.get("content-length", "")
         skip = stop + 4 - pos
-        more(skip + n)
+        if not length.isascii() or not length.isdigit():
+            yield {**headers, PROBLEM: "header"}, b""
+            return
+        n = int(length)
+        if not more(skip + n) and len(buf) - pos < skip + n:
+            yield {**headers, **(ending() or {PROBLEM: "truncated"})}, bytes(buf[pos + skip:])
+            return
         yield headers, bytes(buf[pos + skip:pos + skip + n])
         pos += skip + n
 
 
+PROBLEM = ":problem"
+OWN_ID = re.compile(r"<urn:page:(-?\d+)(?::\d+)*>")          # the writer's record ids of pages with an id
 FIELDS = ("page_id long, url string, record_type string, refers_to long, payload_digest string, "
-          "payload_bytes long, payload binary, status string")
+          "payload_bytes long, payload binary, status string, record_id string")
+
+
+def _page(record_id: str) -> int | None:
+    own = OWN_ID.fullmatch(record_id)
+    return int(own[1]) if own else None
 
 
 def decode(headers: dict[str, str], block: bytes, problem: str | None = None) -> dict:
     """The result row of a whole record."""
-    ident = headers["warc-record-id"].split(":")[2]
-    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    kind = headers["warc-type"]
-    row = {"page_id": None if ident == "null" else int(ident), "url": headers.get("warc-target-uri"), "record_type": kind,
-           "refers_to": None, "payload_digest": digest, "payload_bytes": None, "payload": None, "status": problem or "ok"}
+    ident, kind = headers.get("warc-record-id", ""), headers.get("warc-type")
+    given = headers.get("warc-payload-digest", "")
+    digest = given[5:].upper() if given[:5].lower() == "sha1:" and len(given) == 37 else None
+    problem = problem or headers.get(PROBLEM) or (None if kind in ("response", "revisit") else "other")
+    row = {"page_id": _page(ident), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": None,
+           "payload_digest": digest, "payload_bytes": None, "payload": None, "status": problem or "ok", "record_id": ident or None}
     if problem:
         return row
     head, _, body = block.partition(b"\r\n\r\n")
     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
     if kind == "revisit":
-        row |= {"refers_to": int(headers["warc-refers-to"].split(":")[2].rstrip(">")),
-                "payload_bytes": int(http[b"content-length"])}
-        return row
+        size = http.get(b"content-length", b"")
+        return row | {"refers_to": _page(headers.get("warc-refers-to", "")), "payload_bytes": int(size) if size.isdigit() else None}
     payload = dechunk(body) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else body
     if payload is None:
         return row | {"status": "framing"}
-    if base32_sha1(payload) != digest:
+    true = base32_sha1(payload)
+    if digest not in (None, true):
         return row | {"status": "digest"}
-    return row | {"payload": payload, "payload_bytes": len(payload)}
+    return row | {"payload": payload, "payload_bytes": len(payload), "payload_digest": true}
+
+
+def _number(value: str) -> int | None:
+    return int(value) if value.isascii() and value.isdigit() and len(value) < 10 else None
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """A row per logical record: ``page_id, url, record_type, refers_to, payload_digest, payload_bytes,
-    payload, status``."""
+    payload, status, record_id``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     names = [f.split()[0] for f in FIELDS.split(", ")]
     arrow = to_arrow_schema(StructType.fromDDL(FIELDS))
@@ -224,13 +259,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         for data in batch.column("content"):
             for headers, block in parse(data.as_py()):
                 if "warc-segment-number" in headers:
-                    yield {"origin": [headers.get("warc-segment-origin-id", headers["warc-record-id"])],
-                           "number": [int(headers["warc-segment-number"])],
-                           "total": [int(headers["warc-segment-total-length"]) if "warc-segment-total-length" in headers else None],
+                    yield {"origin": [headers.get("warc-segment-origin-id", headers.get("warc-record-id", ""))],
+                           "number": [_number(headers["warc-segment-number"])],
+                           "total": [_number(headers.get("warc-segment-total-length", ""))],
                            "headers": [list(headers.items())], "block": [block]}
 
     def assemble(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        parts = sorted(t.to_pylist(), key=lambda r: r["number"])
+        parts = sorted(t.to_pylist(), key=lambda r: r["number"] or 0)
         headers = {h["k"]: h["v"] for h in parts[0]["headers"]}
         block = b"".join(p["block"] for p in parts)
         total = parts[-1]["total"]
@@ -239,6 +274,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             problem = "gap"
         elif total != len(block):
             problem = "length"
+        headers.pop(PROBLEM, None)
         row = decode({"warc-type": "response"} | headers | {"warc-record-id": key[0].as_py()}, block, problem)
         return pa.Table.from_pylist([row], schema=arrow)
 

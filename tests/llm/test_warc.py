@@ -88,3 +88,48 @@ def test_dechunk():
     assert W.dechunk(W.chunked(b"abc" * 9, 4)) == b"abc" * 9
     assert W.dechunk(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     assert W.dechunk(b"5\r\nabc\r\n0\r\n\r\n") is None and W.dechunk(b"") is None
+
+
+def _read(spark, name, data):
+    import os
+    path = local_path(shared_dir(spark, name))
+    os.makedirs(path)
+    with open(f"{path}/part.gz", "wb") as f:
+        f.write(data)
+    return W.read_archive(spark, path).collect()
+
+
+def test_files_that_end_early_or_are_damaged_leave_a_row(spark):
+    rec = b"".join(W.page_records(5, "http://x", bytes(range(256)) * 40, None, False, 0, 1 << 20)) + b"\r\n\r\n"
+    whole = gzip.compress(rec)
+    for cut in (30, len(whole) // 2, len(whole) - 12):
+        (row,) = _read(spark, "t_cut", whole[:-cut])
+        assert row.status == "truncated" and row.payload is None
+    rows = _read(spark, "t_second", whole + whole[: len(whole) // 2])
+    assert sorted(r.status for r in rows) == ["ok", "truncated"]
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 255
+    got = {r.status for r in _read(spark, "t_damaged", bytes(broken))}
+    assert got and got <= {"gzip", "truncated", "digest", "framing", "header"}
+    assert [r.status for r in _read(spark, "t_garbage", whole + b"no gzip")] == ["ok", "gzip"]
+    assert [r.status for r in _read(spark, "t_header", gzip.compress(rec[:90]))] == ["truncated"]
+
+
+def test_archives_from_elsewhere(spark):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    def rec(kind, ident, block, *more):
+        return W._record([("WARC-Type", kind), ("WARC-Record-ID", ident), *more], block) + b"\r\n\r\n"
+    good = W.base32_sha1(b"<p>hi</p>")
+    recs = [rec("warcinfo", "<urn:uuid:1>", b"software: x"), rec("response", "<urn:uuid:2>", http),
+            rec("response", "<urn:uuid:3>", http, ("WARC-Payload-Digest", f"sha1:{good}")),
+            rec("response", "<urn:uuid:4>", http, ("WARC-Payload-Digest", "sha1:" + "A" * 32)),
+            rec("response", "<urn:uuid:5>", http, ("WARC-Payload-Digest", "md5:abc")),
+            rec("revisit", "<urn:uuid:6>", b"HTTP/1.1 200 OK\r\n\r\n", ("WARC-Refers-To", "<urn:uuid:2>")),
+            rec("request", "<urn:uuid:7>", b"GET / HTTP/1.1\r\n\r\n"),
+            b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:8>\r\nContent-Length: many\r\n\r\nx"]
+    rows = {r.record_id[-2]: r for r in _read(spark, "t_foreign", b"".join(map(gzip.compress, recs)))}
+    assert {k: r.status for k, r in rows.items()} == {"1": "other", "2": "ok", "3": "ok", "4": "digest", "5": "ok", "6": "ok",
+                                                      "7": "other", "8": "header"}
+    assert all(r.page_id is None for r in rows.values())
+    assert rows["2"].payload == rows["3"].payload == b"<p>hi</p>" and rows["2"].payload_digest == good
+    assert rows["6"].refers_to is None and rows["6"].record_type == "revisit"
