@@ -14,7 +14,8 @@ whatever the corpus), written once to the shared folder; the rest is joined by h
 so a passage that a third of the corpus holds is spread.  Items with equal words are one row in the join.
 
 Edge cases: null or empty text has no words, no hits; an item without words matches nothing; repeated rows
-are judged one by one; a null ``doc_id`` row is kept and judged by its text.  Extra columns are ignored.
+are judged one by one; a null ``doc_id`` row is kept and judged by its text.  Other columns are kept whatever they are
+called, but for the result's names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kshot.llm.common import Words, listed, map_batches, text_runs
+from kshot.llm.common import Words, free, listed, map_batches, text_runs
 from kshot.session import staged
 
 K, WINDOW = 6, 10
@@ -144,11 +145,11 @@ def decontaminate(documents: DataFrame, items: DataFrame, text: str = "text", it
                                   F.col("ctx").alias("i_ctx")), "item_prints")
     bloom = _bloom(prints, bloom_bits)
 
-    rows = documents.select(*extra, F.col(text).alias("text")).withColumn("_rid", F.monotonically_increasing_id())
-    # the ids of the other columns travel with the narrow result, so the text is read once
+    # the other columns travel with the narrow result in one struct, so the text is read once and no name clashes
     keep = F.struct(*[F.col(c) for c in extra]) if extra else F.struct(F.lit(1).alias("_"))
-    found = _scan_documents(rows, keep, extra, k, window, short, bloom)
-    cand = (found.select(F.col("_rid").alias("rid"), F.inline(F.arrays_zip(*cols)))
+    rows = documents.select(keep.alias("kept"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+    found = _scan_documents(rows, k, window, short, bloom)
+    cand = (found.select("rid", F.inline(F.arrays_zip(*cols)))
             .withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int")))
     other = prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = cand.join(other, ["hash", "len", "salt"])
@@ -169,7 +170,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, text: str = "text", it
              .join(named_by, "class")
              .groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
     per = n_hit.join(named, "rid", "left")
-    base = found.select(F.col("_rid").alias("rid"), "kept", "n_words")
+    base = found.select("rid", "kept", "n_words")
     out = base.join(per, "rid", "left")
     return out.select(*[F.col("kept")[c].alias(c) for c in extra], "n_words",
                       F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -180,11 +181,12 @@ def decontaminate(documents: DataFrame, items: DataFrame, text: str = "text", it
 def keep_clean(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
     """``documents`` without the contaminated ones; columns stay as they are.  Only ids and text hashes of
     contaminated rows are joined back."""
-    keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"),
+    key = free("_key", documents.columns)
+    keyed = documents.withColumn(key, F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"),
                                                   F.xxhash64(text).alias("h")))
-    judged = decontaminate(keyed.select("_key", text), items, text, **params)
-    gone = staged(judged.where("contaminated").select("_key").distinct(), "contaminated")
-    return keyed.join(gone, "_key", "left_anti").select(*documents.columns)
+    judged = decontaminate(keyed.select(key, text), items, text, **params)
+    gone = staged(judged.where("contaminated").select(key).distinct(), "contaminated")
+    return keyed.join(gone, key, "left_anti").select(*documents.columns)
 
 
 def _bloom(prints: DataFrame, bits: int) -> bytes:
@@ -198,23 +200,20 @@ def _bloom(prints: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def _scan_documents(rows: DataFrame, keep, extra: list[str], k: int, window: int, short: list[int],
-                    bloom: bytes) -> DataFrame:
+def _scan_documents(rows: DataFrame, k: int, window: int, short: list[int], bloom: bytes) -> DataFrame:
     """One pass over the texts; the result (narrow) is written once, so the row ids hold for all uses."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bloom)     # bits / 8 bytes by construction
-    fields = rows.select(keep.alias("kept"), F.col("_rid"), F.col("text"))
-    kept_type = fields.schema["kept"].dataType.simpleString()
+    kept_type = rows.schema["kept"].dataType.simpleString()
     plain = None
 
     def fn(batch):
         nonlocal plain
         plain = plain or _mapper(k, window, short, shared.value, False)
         kept, at = batch.column("kept"), 0
-        sub = pa.RecordBatch.from_arrays([batch.column("_rid"), batch.column("text")], ["rid", "text"])
+        sub = pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("text")], ["rid", "text"])
         for cols in plain(sub):
             n = len(cols["rid"])
-            yield {**cols, "_rid": cols["rid"], "kept": kept.slice(at, n)}
+            yield {**cols, "kept": kept.slice(at, n)}
             at += n
-    schema = f"kept {kept_type}, _rid long, " + _row_schema("text").replace("rid long, ", "", 1)
-    return staged(map_batches(fields, fn, schema), "doc_prints")
+    return staged(map_batches(rows, fn, f"kept {kept_type}, " + _row_schema("text")), "doc_prints")

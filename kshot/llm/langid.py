@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kshot.llm.common import Words, held_out, map_batches, mix, text_runs
+from kshot.llm.common import Words, free, held_out, map_batches, mix, text_runs
 
 DIM, PER_LANG, GRAMS, SCALE, SEED = 4096, 1500, (1, 2, 3, 4), 40.0, 11
 #: language families (fixed values)
@@ -173,7 +173,8 @@ def train(documents: DataFrame, per_lang: int = PER_LANG, families: dict[str, st
 def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` without the text, plus ``lang_pred`` and ``score``."""
     extra = [c for c in documents.columns if c not in (text, "lang_pred", "score")]
-    src = documents.select(F.struct(*extra, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")).alias("row"),
+    letter = free("_letter", extra)
+    src = documents.select(F.struct(*extra, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter)).alias("row"),
                            F.lower(text).alias("text"))
 
     def fn(batch):
@@ -182,5 +183,5 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
             yield {"row": batch.column("row").slice(a, b - a), "lang_pred": lang, "score": score}
     out = map_batches(src, fn, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col("row")[c].alias(c) for c in extra],
-                      F.when(F.col("row._letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
-                      F.when(F.col("row._letter"), F.col("score")).otherwise(0.0).alias("score"))
+                      F.when(F.col("row")[letter], F.col("lang_pred")).otherwise("und").alias("lang_pred"),
+                      F.when(F.col("row")[letter], F.col("score")).otherwise(0.0).alias("score"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kshot.llm.common import Words, map_batches, mix, text_runs
+from kshot.llm.common import Words, free, map_batches, mix, text_runs
 from kshot.session import staged
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -215,13 +215,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     names = [f"b{i}" for i in range(bands)]
     extra = [c for c in documents.columns if c not in (text, "class_id", "n_links", "class_root")]
     src = documents.select(F.struct(*extra).alias("kept"), F.col(text).alias("text"))
-    src = src.withColumn("kept", F.struct(*[F.col("kept")[c].alias(c) for c in extra], F.xxhash64("text").alias("_th")))
+    th = free("_th", extra)
+    src = src.withColumn("kept", F.struct(*[F.col("kept")[c].alias(c) for c in extra], F.xxhash64("text").alias(th)))
     kept_type = src.schema["kept"].dataType.simpleString()
     docs = staged(map_batches(src, _signer(n, bands, rows),
                               f"kept {kept_type}, node {NODE}, " + ", ".join(f"{x} long" for x in names)), "signatures")
     ident = F.col("kept")[doc_id]
     nodes = staged(docs.where("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min(ident).alias("least"), F.min(F.col("kept._th")).alias("th"),
+        F.count(F.lit(1)).alias("n_docs"), F.min(ident).alias("least"), F.min(F.col("kept")[th]).alias("th"),
         *[F.max(x).alias(x) for x in names]), "nodes")
 
     where = nodes.select("node", F.posexplode(F.array(*names)).alias("band", "key"))
@@ -270,22 +271,23 @@ def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", *
     hash and one of equal rows if ids repeat).  Columns stay as they are; the text never travels through
     the join's shuffles, rows are found again by id and text hash."""
     cols = documents.columns
-    keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"),
+    key = free("_key", [*cols, "class_id", "n_links", "class_root"])
+    keyed = documents.withColumn(key, F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"),
                                                   F.xxhash64(text).alias("h")))
-    judged = near_duplicates(keyed.select(doc_id, "_key", text), text, doc_id, **params)
+    judged = near_duplicates(keyed.select(doc_id, key, text), text, doc_id, **params)
     alone = F.col("n_links") == 0
     # rows without links stand for themselves; a class of several is cut to its least (id, hash); the root
     # names the class, as ids may be null or repeat
     grouped = (judged.where(~alone).groupBy("class_root")
                .agg(F.min(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"),
-                                   F.col("_key").alias("k"))).alias("m")).select(F.col("m.k").alias("_key")))
-    drop = (judged.where(~alone).select("_key").distinct()
-            .join(grouped.withColumn("stay", F.lit(1)), "_key", "left").where("stay is null").select("_key"))
-    out = keyed.join(drop, "_key", "left_anti")
-    again = staged(judged.where(~alone).groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-                   .select("_key"), "repeated")
+                                   F.col(key).alias("k"))).alias("m")).select(F.col("m.k").alias(key)))
+    drop = (judged.where(~alone).select(key).distinct()
+            .join(grouped.withColumn("stay", F.lit(1)), key, "left").where("stay is null").select(key))
+    out = keyed.join(drop, key, "left_anti")
+    again = staged(judged.where(~alone).groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                   .select(key), "repeated")
     if again.limit(1).count():      # equal id and text in several rows: one of them
-        rest = out.join(again, "_key", "left_anti")
-        once = out.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+        rest = out.join(again, key, "left_anti")
+        once = out.join(again, key, "left_semi").dropDuplicates([key])
         out = rest.unionByName(once)
     return out.select(*cols)

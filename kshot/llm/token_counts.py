@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kshot.llm.bpe_memo import WS, Memo, load
-from kshot.llm.common import map_batches
+from kshot.llm.common import free, map_batches
 
 CHUNK, OVERLAP, MEMO = 16_384, 256, 600_000
 SEGMENT = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
@@ -131,9 +131,10 @@ def count_tokens(documents: DataFrame, tokenizer: str, text: str = "text", limit
     ``tokenizer``: path of a byte-level BPE ``tokenizers`` file, present on every executor.
     """
     extra = [c for c in documents.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    src = documents.select(F.struct(*extra, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"))
+    size = free("_bytes", extra)
+    src = documents.select(F.struct(*extra, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias(size))
                            .alias("kept"), F.col(text).alias("text"))
     out = map_batches(src, _counter(tokenizer, chunk, overlap, memo),
                       f"kept {src.schema['kept'].dataType.simpleString()}, n_tokens long")
-    return out.select(*[F.col("kept")[c].alias(c) for c in extra], F.col("kept._bytes").alias("n_bytes"), "n_tokens",
+    return out.select(*[F.col("kept")[c].alias(c) for c in extra], F.col("kept")[size].alias("n_bytes"), "n_tokens",
                       (F.col("n_tokens") > limit).alias("over_limit"))
