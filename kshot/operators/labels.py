@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kshot.operators.positions import ranged_position
+from kshot.session import staged
 
+#: Class tables up to this size are ordered in one task.
+MAX_ROWS = 100_000
 _NUMERIC = ("int", "bigint", "smallint", "tinyint")
 
 
@@ -16,10 +20,19 @@ def class_bucket(df: DataFrame, col: str) -> list[Column]:
     return [F.substring(F.col(col), 1, 1)]
 
 
-def label_index(items: DataFrame, class_col: str = "class") -> DataFrame:
-    """``(class, class_idx)`` with class_idx = 0..C-1 in ascending class order.
+def ranked_classes(items: DataFrame, class_col: str, order: list[Column], out: str, max_rows: int = MAX_ROWS) -> tuple[DataFrame, int]:
+    """The distinct classes with their position (from 1) in ``order``, and their number.
 
-    Runs on the distinct class table (C rows, far fewer than items), so a plain ordered window is used.
+    The class table is written and counted: up to ``max_rows`` rows take one ordered window, more are dealt into ranges.
     """
-    classes = items.select(class_col).distinct()
-    return classes.withColumn("class_idx", (F.row_number().over(Window.orderBy(class_col)) - 1).cast("bigint"))
+    classes = staged(items.select(class_col).distinct(), "classes")
+    n = classes.count()
+    if n <= max_rows:
+        return classes.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint")), n
+    return ranged_position(classes, order, out, max_rows), n
+
+
+def label_index(items: DataFrame, class_col: str = "class", max_rows: int = MAX_ROWS) -> DataFrame:
+    """``(class, class_idx)`` with class_idx = 0..C-1 in ascending class order."""
+    ranked, _ = ranked_classes(items, class_col, [F.col(class_col)], "class_idx", max_rows)
+    return ranked.withColumn("class_idx", F.col("class_idx") - 1)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kshot.functions.draw import order_key
 from kshot.session import staged
@@ -19,15 +20,41 @@ from kshot.session import staged
 _UNB = Window.unboundedPreceding
 
 
+#: Buckets under one parent: a window over buckets is never longer than this, but for the topmost of a few levels.
+FAN = 4096
+
+
+def _before(table: DataFrame, partition: list[str], buckets: list[str], value: str, aggregate, out: str, levels: int) -> DataFrame:
+    """``aggregate`` (sum or max) of ``value`` over the earlier buckets of a partition, null at the first.
+
+    One whole-number bucket column is taken in ``levels`` levels of ``FAN`` buckets, so that no window task grows with
+    the number of buckets: 4096 ** 2 buckets to a row of the topmost window at two levels."""
+    whole = len(buckets) == 1 and isinstance(table.schema[buckets[0]].dataType, (T.LongType, T.IntegerType, T.DecimalType))
+    earlier = Window.orderBy(*buckets).rowsBetween(_UNB, -1)
+    if not whole or not levels:
+        w = Window.partitionBy(*partition).orderBy(*buckets).rowsBetween(_UNB, -1) if partition else earlier
+        return table.withColumn(out, aggregate(value).over(w))
+    up, over = f"_up{levels}", f"_above{levels}"
+    parent = table.withColumn(up, F.floor(F.col(buckets[0]) / FAN).cast("long"))
+    above = _before(parent.groupBy(*partition, up).agg(aggregate(value).alias(value)), partition, [up], value, aggregate,
+                    over, levels - 1).drop(value)
+    inside = Window.partitionBy(*partition, up).orderBy(*buckets).rowsBetween(_UNB, -1)
+    both = parent.withColumn("_in", aggregate(value).over(inside)).join(above, [*partition, up])
+    total = F.greatest(over, "_in") if aggregate is F.max else F.coalesce(F.col(over) + F.col("_in"), over, "_in")
+    return both.withColumn(out, total).drop(up, "_in", over)
+
+
 def global_position(df: DataFrame, order: list[Column], bucket: list[Column], out: str = "pos",
                     partition: list[str] | None = None) -> DataFrame:
-    """1-based position of every row in ``order`` (within ``partition``), as bigint."""
+    """1-based position of every row in ``order`` (within ``partition``), as bigint.
+
+    A single whole-number bucket may take any number of values (see ``_before``); others should take a bounded number."""
     partition = partition or []
     bnames = [f"_b{i}" for i in range(len(bucket))]
     b = df.select("*", *[c.alias(n) for c, n in zip(bucket, bnames)])
     sizes = b.groupBy(*partition, *bnames).agg(F.count(F.lit(1)).alias("_bn"))
-    w_off = (Window.partitionBy(*partition) if partition else Window).orderBy(*bnames).rowsBetween(_UNB, -1)
-    offsets = sizes.select(*partition, *bnames, F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_boff"))
+    offsets = _before(sizes, partition, bnames, "_bn", F.sum, "_boff", 0 if partition else 2)
+    offsets = offsets.select(*partition, *bnames, F.coalesce("_boff", F.lit(0)).alias("_boff"))
     ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*partition, *bnames).orderBy(*order)))
     return (ranked.join(offsets, [*partition, *bnames])
             .withColumn(out, (F.col("_boff") + F.col("_rn")).cast("bigint"))
@@ -104,8 +131,7 @@ def running_max_before(df: DataFrame, value: Column, order: list[Column], bucket
     bnames = [f"_b{i}" for i in range(len(bucket))]
     b = df.select("*", *[c.alias(n) for c, n in zip(bucket, bnames)], value.alias("_v"))
     bmax = b.groupBy(*partition, *bnames).agg(F.max("_v").alias("_bm"))
-    w_b = (Window.partitionBy(*partition) if partition else Window).orderBy(*bnames).rowsBetween(_UNB, -1)
-    prev_b = bmax.select(*partition, *bnames, F.max("_bm").over(w_b).alias("_pb"))
+    prev_b = _before(bmax, partition, bnames, "_bm", F.max, "_pb", 1).select(*partition, *bnames, "_pb")
     end = 0 if inclusive else -1
     w_in = Window.partitionBy(*partition, *bnames).orderBy(*order).rowsBetween(_UNB, end)
     inner = b.withColumn("_pi", F.max("_v").over(w_in))

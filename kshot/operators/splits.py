@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kshot.functions.draw import order_key
+from kshot.functions.permute import permuted
 from kshot.operators.joins import small_join
-from kshot.operators.labels import label_index
-from kshot.operators.positions import Indexed, hashed_position, member_index
+from kshot.operators.labels import MAX_ROWS, label_index, ranked_classes
+from kshot.operators.positions import Indexed, global_position, hashed_position, member_index
 from kshot.session import staged
 
 
 def split_classes(items: DataFrame, frac: float, seed, class_col: str = "class",
-                  first: str = "train", rest: str = "validation") -> DataFrame:
+                  first: str = "train", rest: str = "validation", max_rows: int = MAX_ROWS) -> DataFrame:
     """Class-disjoint split; ``floor(frac * C)`` classes drawn without replacement go to ``first``."""
-    classes = items.select(class_col).distinct()
-    # one row per class: a plain ordered window over the class table is cheap
-    rank = F.row_number().over(Window.orderBy(order_key(seed, F.col(class_col)), class_col))
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    return classes.select(class_col, F.when(rank <= F.floor(total * F.lit(float(frac))), F.lit(first))
-                          .otherwise(F.lit(rest)).alias("split"))
+    ranked, n = ranked_classes(items, class_col, [order_key(seed, F.col(class_col)), F.col(class_col)], "_rank", max_rows)
+    return ranked.select(class_col, F.when(F.col("_rank") <= math.floor(n * float(frac)), F.lit(first))
+                         .otherwise(F.lit(rest)).alias("split"))
 
 
 def background_evaluation(items: DataFrame, frac: float, seed, class_col: str = "class",
@@ -62,6 +62,21 @@ def minibatches(rows: DataFrame, batch: int, pos: str = "pos") -> DataFrame:
             .where(F.col("batch_id") < F.floor(F.col("_n") / F.lit(batch))).drop("_n"))
 
 
+def number_rows(rows: DataFrame, key: str, out: str = "number", per_bucket: int = 1 << 16) -> DataFrame:
+    """Rows numbered from 0 in the order of a whole-number ``key`` (null keys first, which is one bucket), written once."""
+    bucket = F.floor(F.col(key) / per_bucket)
+    return staged(global_position(rows, [F.col(key)], [F.coalesce(bucket, F.lit(-(1 << 62)))], out).withColumn(out, F.col(out) - 1), "numbered")
+
+
+def permuted_epochs(numbered: DataFrame, n: int, seed, epochs: int, batch: int, number: str = "number") -> DataFrame:
+    """C4 and C5 over several epochs: every row once an epoch, with ``epoch``, ``pos`` (from 1) and ``batch_id``; the
+    incomplete last batch of an epoch is dropped.  Row-local: nothing is sorted or shuffled after the numbering."""
+    spread = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    placed = spread.withColumn("pos", permuted(F.col(number), n, seed, F.col("epoch")) + 1)
+    return (placed.withColumn("batch_id", F.floor((F.col("pos") - 1) / batch).cast("bigint"))
+            .where(F.col("batch_id") < n // batch))
+
+
 def draw_support(items: DataFrame, k: int, seed, class_col: str = "class", item_col: str = "item_id",
                  max_broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C6 without numbering the items: ``(support, queries, labels)`` with the rows of ``support_query_split``.
