@@ -76,3 +76,31 @@ def test_encode_with_a_hot_token_outside_the_vocabulary(spark):
     for r in B.encode_unk(docs, vocab).collect():
         w = r.item_id % 5
         assert r.ids == [1, w + 2 if w < 4 else 1, 1]
+
+
+def test_frequent_keys_finds_every_key_over_the_share(spark):
+    """5,000 keys over a share of 1/10000-th band around 1/1000, among 300,000 rows of rare ones; nulls do not count."""
+    hot = spark.range(40).select(F.explode(F.array_repeat(F.concat(F.lit("h"), "id"), 420)).alias("k"))
+    near = spark.range(300).select(F.explode(F.array_repeat(F.concat(F.lit("n"), "id"), 150)).alias("k"))
+    rare = spark.range(300_000).select(F.concat(F.lit("r"), "id").alias("k"))
+    nulls = spark.range(100_000).select(F.lit(None).cast("string").alias("k"))
+    rows = hot.union(near).union(rare).union(nulls).repartition(6)
+    got = {r.k for r in J.frequent_keys(rows, "k").collect()}
+    assert {f"h{i}" for i in range(40)} <= got and all(k[0] in "hn" for k in got) and len(got) < 1334
+
+
+def test_frequent_keys_of_numbers_and_of_nothing(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("k"))
+    assert {r.k for r in J.frequent_keys(rows, "k").collect()} == {0, 1}
+    assert J.frequent_keys(rows.limit(0), "k").collect() == []
+    assert J.frequent_keys(rows.select(F.lit(None).cast("int").alias("k")), "k").collect() == []
+
+
+def test_split_join_with_nulls_and_array_keys(spark):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 5).alias("k"))
+    table = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = sorted((i, (i % 5) * 10 if i % 3 == 0 and i % 5 < 3 else None) for i in range(500))
+    got = J.split_join(rows, table, "k", ["id"], share=20)
+    assert sorted((r.id, r.v) for r in got.collect()) == want
+    arrays = J.split_join(rows.withColumn("k", F.array("k")), table.withColumn("k", F.array("k")), "k", ["id"], share=20)
+    assert sorted((r.id, r.v) for r in arrays.collect()) == want
