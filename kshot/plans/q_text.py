@@ -59,9 +59,9 @@ def q_drop_rare(spark, sf):
 
 
 @register("drop_stop_words", f"""WITH {S.DTOK},
-c AS MATERIALIZED (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM dtok) GROUP BY token),
-stop AS MATERIALIZED (SELECT token FROM c ORDER BY cnt DESC, token LIMIT 20)
-SELECT token, cnt FROM c WHERE NOT EXISTS (SELECT 1 FROM stop WHERE stop.token = c.token)""")
+c AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM dtok) GROUP BY token),
+k AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) AS place FROM c)
+SELECT token, cnt FROM k WHERE place > 20""")
 def q_drop_stop_words(spark, sf):
     counts = B.token_count(docs(spark, sf))
     return B.drop_stop_words(counts, B.top_tokens(counts, 20))

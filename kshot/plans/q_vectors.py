@@ -69,17 +69,18 @@ def q_embedding_matrix_zero(spark, sf):
 @register("embedding_lookup", f"""WITH {_ZM}, {S.encode_cte('dtok', 'vocab', 1)},
 ex AS (SELECT item_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM enc),
 lk AS (SELECT ex.item_id, ex.pos, {_srv('zm.vector')} AS v FROM ex JOIN zm USING (id))
-SELECT item_id, count(*) AS n, arg_min(v, pos) AS first, arg_max(v, pos) AS last, arg_min(v, -((pos * 7919) % 1009) * 100000 + pos) AS probe
+SELECT item_id, count(*) AS n, arg_min(v, pos) AS first, arg_max(v, pos) AS last,
+  md5(string_agg(md5(array_to_string(list_transform(v, lambda x: round(x * 1000000)::BIGINT::VARCHAR), ',')), '|' ORDER BY pos)) AS digest
 FROM lk GROUP BY item_id""")
 def q_embedding_lookup(spark, sf):
+    """The vectors of every token of every document: their number, the first, the last, and a digest over the vectors of
+    all positions in order."""
     vocab, m = _zero_matrix(spark, sf)
-    """All tokens of every document; returned are their number and the vectors at three positions."""
     out = EM.embedding_lookup(B.encode_unk(docs(spark, sf), vocab), m)
-    probe = F.expr("""array_min(transform(sequence(1L, cast(size(vectors) as bigint)),
-        p -> named_struct('k', -((p * 7919) % 1009) * 100000 + p, 'p', p))).p""")
+    digest = F.md5(F.array_join(F.transform("vectors", lambda v: F.md5(F.array_join(F.transform(v, lambda x: F.round(
+        F.round(x.cast("double"), 6) * 1000000).cast("bigint").cast("string")), ","))), "|"))
     return out.select("item_id", F.size("vectors").cast("long").alias("n"), _rv(F.element_at("vectors", 1)).alias("first"),
-                      _rv(F.element_at("vectors", -1)).alias("last"),
-                      _rv(F.col("vectors")[(probe - 1).cast("int")]).alias("probe"))
+                      _rv(F.element_at("vectors", -1)).alias("last"), digest.alias("digest"))
 
 
 @register("max_pool_time", f"""WITH {_ZM}, {S.encode_cte('dtok', 'vocab', 1)},
