@@ -64,12 +64,13 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], c
     return out.select(key, *own, *[F.coalesce(F.col("_hot")[c], F.col("_tail")[c]).alias(c) for c in payload])
 
 
-def small_join(rows: DataFrame, table: DataFrame, key: str, spread: str, max_broadcast_rows: int = 200_000,
-               salts: int = 32) -> DataFrame:
+def small_join(rows: DataFrame, table: DataFrame, key: str | list[str], spread: str | list[str],
+               max_broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """Inner join of ``rows`` with a table of one narrow row per key: broadcast under a counted bound, else on
-    ``(key, salt)`` so that a hot key is dealt over ``salts`` tasks."""
+    ``(key, salt)`` so that a hot key is dealt over ``salts`` tasks.  ``spread`` tells rows of a key apart."""
+    keys, apart = ([x] if isinstance(x, str) else list(x) for x in (key, spread))
     if table.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return rows.join(F.broadcast(table), key)
+        return rows.join(F.broadcast(table), keys)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    mine = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return mine.join(salted, [key, "_salt"]).drop("_salt")
+    mine = rows.withColumn("_salt", F.pmod(F.xxhash64(*apart), F.lit(salts)).cast("int"))
+    return mine.join(salted, [*keys, "_salt"]).drop("_salt")

@@ -14,6 +14,10 @@ from kshot.functions.draw import distinct_indices, distinct_indices_array, keyed
 from kshot.operators.joins import small_join
 from kshot.operators.labels import label_index
 from kshot.operators.positions import class_offsets, member_index
+from kshot.session import staged
+
+#: Class tables up to this size are broadcast; larger ones meet the draws on (class, salt).
+MAX_CLASSES = 200_000
 
 
 def _seq(n: int | Column) -> Column:
@@ -51,6 +55,11 @@ def _members(items: DataFrame, seed, min_members: int = 1, class_col: str = "cla
                           "member_idx", "item_id", "n"), classes
 
 
+def _class_table(classes: DataFrame) -> DataFrame:
+    """``(class, class_idx, n)``, written once: it is counted and joined several times."""
+    return staged(label_index(classes.select("class")).join(classes, "class"), "class_table")
+
+
 # ---------------------------------------------------------------------------------------- D1
 def _rounds(classes: DataFrame, m: int, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """``classes x round`` draw coordinates, generated from a distributed ``range(m)`` so the draw
@@ -103,7 +112,8 @@ def _scoped_classes(classes: DataFrame, min_classes: int = 1) -> DataFrame:
             .withColumn("n_super", F.max("sidx").over(Window.partitionBy()) + 1))
 
 
-def sample_train_batch_scoped(items: DataFrame, batch: int, steps: int, seed, start_step: int = 0) -> DataFrame:
+def sample_train_batch_scoped(items: DataFrame, batch: int, steps: int, seed, start_step: int = 0,
+                              max_broadcast_rows: int = MAX_CLASSES) -> DataFrame:
     """Step s uses superclass ``s mod S`` (name order); ``batch`` class draws with replacement inside
     it; per draw 3 distinct members and a negative from another class of the same superclass (uniform
     over classes, then members).  2 * batch pairs per step.
@@ -112,22 +122,24 @@ def sample_train_batch_scoped(items: DataFrame, batch: int, steps: int, seed, st
     """
     members, classes = _members(items, seed, 3)
     sc = items.select("superclass", "class").distinct().join(classes, "class")
-    cinfo = _scoped_classes(sc, 2)
-    sup = cinfo.select("superclass", "sidx", "cs", "n_super").distinct()
+    cinfo = staged(_scoped_classes(sc, 2), "class_table")
+    sup = cinfo.select("superclass", "sidx", "cs").distinct()
     spark = items.sparkSession
-    st = (spark.range(start_step, start_step + steps).select(F.col("id").alias("step"))
-          .crossJoin(sup.select("n_super").distinct())
-          .withColumn("sidx", F.col("step") % F.col("n_super"))
-          .join(sup.drop("n_super"), "sidx").withColumn("draw", _seq(batch)))
+    n_super = cinfo.agg(F.max("n_super")).first()[0] or 1
+    # draws first: what follows is spread over them, also where one superclass holds all classes
+    st = (spark.range(start_step, start_step + steps).select(F.col("id").alias("step")).withColumn("draw", _seq(batch))
+          .withColumn("sidx", F.col("step") % n_super))
+    st = small_join(st, sup, "sidx", ["step", "draw"], max_broadcast_rows)
     st = st.withColumn("cidx", keyed_index(F.col("cs"), seed, F.col("step"), F.col("draw"), "c"))
-    st = st.join(cinfo.select("superclass", "cidx", "class", "n"), ["superclass", "cidx"])
+    st = small_join(st, cinfo.select("superclass", "cidx", "class", "n"), ["superclass", "cidx"], ["step", "draw"],
+                    max_broadcast_rows)
     s0, s1, s2 = distinct_indices(F.col("n"), 3, seed, F.col("step"), F.col("draw"))
     oc = shift_past(keyed_index(F.col("cs") - 1, seed, F.col("step"), F.col("draw"), "o"), F.col("cidx"), F.lit(1))
     st = st.select("step", "draw", "superclass", "class", s0.alias("m0"), s1.alias("m1"), s2.alias("m2"),
                    oc.alias("ocidx"))
     other = cinfo.select("superclass", F.col("cidx").alias("ocidx"), F.col("class").alias("oclass"),
                          F.col("n").alias("on"))
-    st = st.join(other, ["superclass", "ocidx"])
+    st = small_join(st, other, ["superclass", "ocidx"], ["step", "draw"], max_broadcast_rows)
     st = st.withColumn("m3", keyed_index(F.col("on"), seed, F.col("step"), F.col("draw"), "m"))
     mem = members.select("class", "member_idx", "item_id")
     st = _resolve(st, ["step", "draw", "superclass"],
@@ -140,32 +152,31 @@ def sample_train_batch_scoped(items: DataFrame, batch: int, steps: int, seed, st
     return pos.unionByName(neg)
 
 
-def sample_train_batch(items: DataFrame, batch: int, steps: int, seed, start_step: int = 0) -> DataFrame:
+def sample_train_batch(items: DataFrame, batch: int, steps: int, seed, start_step: int = 0,
+                       max_broadcast_rows: int = MAX_CLASSES) -> DataFrame:
     """D3: D2 without the superclass level (one scope over all given classes)."""
     flat = items.withColumn("superclass", F.lit("*"))
-    return sample_train_batch_scoped(flat, batch, steps, seed, start_step).drop("superclass")
+    return sample_train_batch_scoped(flat, batch, steps, seed, start_step, max_broadcast_rows).drop("superclass")
 
 
 # ---------------------------------------------------------------------------------------- D4-D7
 def sample_episodes(items: DataFrame, episodes: int, n_way: int, k_shot: int, seed,
-                    replace: bool = True) -> DataFrame:
+                    replace: bool = True, max_broadcast_rows: int = MAX_CLASSES) -> DataFrame:
     """Per episode ``n_way`` classes and ``k_shot`` members per class, with replacement by default.
 
     Output ``(episode, slot, way, shot, class, member_idx, item_id)``; slot = way * k_shot + shot.
     """
     members, classes = _members(items, seed, 1 if replace else k_shot)
-    labels = label_index(classes.select("class"))
-    cinfo = labels.join(classes, "class")
-    n_cls = classes.agg(F.count(F.lit(1)).alias("C"))
+    cinfo = _class_table(classes)
     spark = items.sparkSession
-    ep = spark.range(episodes).select(F.col("id").alias("episode")).crossJoin(n_cls)
+    ep = spark.range(episodes).select(F.col("id").alias("episode"), F.lit(cinfo.count()).alias("C"))
     if replace:
         ep = ep.withColumn("way", _seq(n_way)).withColumn(
             "class_idx", keyed_index(F.col("C"), seed, F.col("episode"), F.col("way"), "c"))
     else:
         picks = distinct_indices_array(F.col("C"), n_way, seed, F.col("episode"), "c")
         ep = ep.select("episode", F.posexplode(picks).alias("way", "class_idx"))
-    ep = ep.join(cinfo, "class_idx")
+    ep = small_join(ep, cinfo, "class_idx", ["episode", "way"], max_broadcast_rows)
     if replace:
         ep = ep.withColumn("shot", _seq(k_shot)).withColumn(
             "member_idx", keyed_index(F.col("n"), seed, F.col("episode"), F.col("way"), F.col("shot"), "s"))
@@ -218,7 +229,7 @@ def episode_remainder(episodes: DataFrame, items: DataFrame, seed, chunk: int =
         "episode", "way", "class", "member_idx", "item_id")
 
 
-def episode_query_pairs(episodes: DataFrame, items: DataFrame, seed) -> DataFrame:
+def episode_query_pairs(episodes: DataFrame, items: DataFrame, seed, max_broadcast_rows: int = MAX_CLASSES) -> DataFrame:
     """Per episode one query drawn uniformly from the remainder (D7) of all its ways, paired with
     every support row.  Computed without materialising the remainder: the draw picks a way by running
     remainder sizes, then the j-th unpicked member index.
@@ -226,10 +237,10 @@ def episode_query_pairs(episodes: DataFrame, items: DataFrame, seed) -> DataFram
     Output ``(episode, slot, support, query, label)``.
     """
     members, classes = _members(items, seed)
-    per_way = (episodes.groupBy("episode", "way", "class")
-               .agg(F.array_sort(F.array_distinct(F.collect_list("member_idx"))).alias("shots"))
-               .join(classes, "class")
-               .withColumn("rem", F.col("n") - F.size("shots")))
+    drawn = episodes.groupBy("episode", "way", "class").agg(
+        F.array_sort(F.array_distinct(F.collect_list("member_idx"))).alias("shots"))
+    per_way = small_join(drawn, staged(classes, "class_table"), "class", ["episode", "way"], max_broadcast_rows).withColumn(
+        "rem", F.col("n") - F.size("shots"))
     w = Window.partitionBy("episode").orderBy("way")
     per_way = (per_way.withColumn("cum", F.coalesce(F.sum("rem").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                                     F.lit(0)))
@@ -248,7 +259,7 @@ def episode_query_pairs(episodes: DataFrame, items: DataFrame, seed) -> DataFram
 
 
 # ---------------------------------------------------------------------------------------- D8-D10
-def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFrame:
+def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed, max_broadcast_rows: int = MAX_CLASSES) -> DataFrame:
     """Per superclass and task: a class, two distinct members (query, positive) and n-1 distinct
     other classes of the superclass with one member each; n is capped at the class count, -1 = all.
 
@@ -256,12 +267,12 @@ def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFra
     """
     members, classes = _members(items, seed, 2)
     sc = items.select("superclass", "class").distinct().join(classes, "class")
-    cinfo = _scoped_classes(sc).select("superclass", "cidx", "class", "n", "cs")
-    spark = items.sparkSession
-    t = (cinfo.select("superclass", "cs").distinct()
-         .crossJoin(spark.range(tasks).select(F.col("id").alias("task")))
-         .withColumn("cidx", keyed_index(F.col("cs"), seed, F.col("superclass"), F.col("task"), "c"))
-         .join(cinfo.drop("cs"), ["superclass", "cidx"]))
+    cinfo = staged(_scoped_classes(sc).select("superclass", "cidx", "class", "n", "cs"), "class_table")
+    by_idx = cinfo.select("superclass", "cidx", "class", "n")
+    t = _rounds(cinfo.where("cidx = 0").select("superclass", "cs"), tasks, max_broadcast_rows)
+    t = (t.select("superclass", "cs", F.col("round").cast("bigint").alias("task"))
+         .withColumn("cidx", keyed_index(F.col("cs"), seed, F.col("superclass"), F.col("task"), "c")))
+    t = small_join(t, by_idx, ["superclass", "cidx"], "task", max_broadcast_rows)
     q0, q1 = distinct_indices(F.col("n"), 2, seed, F.col("superclass"), F.col("task"))
     nneg = (F.col("cs") if n == -1 else F.least(F.lit(n), F.col("cs"))) - 1
     t = t.select("superclass", "task", "class", "cidx", "cs", q0.alias("mq"), q1.alias("mp"), nneg.alias("nneg"))
@@ -272,8 +283,8 @@ def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFra
         # every other class of the superclass is a negative: tasks x classes rows, each found by its class index
         negs = (t.select("superclass", "task", F.col("cidx").alias("qidx"), "nneg", "query",
                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cs") - 1)).alias("cidx"))
-                .where(F.col("cidx") != F.col("qidx"))
-                .join(cinfo.select("superclass", "cidx", "class", "n"), ["superclass", "cidx"]))
+                .where(F.col("cidx") != F.col("qidx")))
+        negs = small_join(negs, by_idx, ["superclass", "cidx"], "task", max_broadcast_rows)
         rk = Window.partitionBy("superclass", "task").orderBy(
             F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("superclass"), F.col("task").cast("string"),
                               F.col("class").cast("string"))), "class")
@@ -284,8 +295,8 @@ def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFra
         negs = (t.select("superclass", "task", "cidx", "nneg", "query", F.posexplode(picks).alias("j", "o"))
                 .where(F.col("j") < F.col("nneg"))
                 .select("superclass", "task", "nneg", "query", (F.col("j") + 1).alias("pair_no"),
-                        shift_past(F.col("o"), F.col("cidx"), F.lit(1)).alias("cidx"))
-                .join(cinfo.select("superclass", "cidx", "class", "n"), ["superclass", "cidx"]))
+                        shift_past(F.col("o"), F.col("cidx"), F.lit(1)).alias("cidx")))
+        negs = small_join(negs, by_idx, ["superclass", "cidx"], "task", max_broadcast_rows)
     negs = (negs.where(F.col("pair_no") <= F.col("nneg"))
             .withColumn("member_idx", keyed_index(F.col("n"), seed, F.col("superclass"), F.col("task"),
                                                   F.col("class"), "m")))
@@ -297,20 +308,18 @@ def one_shot_tasks_scoped(items: DataFrame, n: int, tasks: int, seed) -> DataFra
     return pos.unionByName(negs)
 
 
-def one_shot_tasks(items: DataFrame, n: int, tasks: int, seed) -> DataFrame:
+def one_shot_tasks(items: DataFrame, n: int, tasks: int, seed, max_broadcast_rows: int = MAX_CLASSES) -> DataFrame:
     """Global tasks; the n-1 negative classes are drawn with replacement among the other classes
     (-1 = as many as there are classes).
 
     Output ``(task, pair_no, query, support, label)``.
     """
     members, classes = _members(items, seed, 2)
-    labels = label_index(classes.select("class"))
-    cinfo = labels.join(classes, "class")
-    n_cls = classes.agg(F.count(F.lit(1)).alias("C"))
+    cinfo = _class_table(classes)
     spark = items.sparkSession
-    t = (spark.range(tasks).select(F.col("id").alias("task")).crossJoin(n_cls)
-         .withColumn("class_idx", keyed_index(F.col("C"), seed, F.col("task"), "c"))
-         .join(cinfo, "class_idx"))
+    t = (spark.range(tasks).select(F.col("id").alias("task"), F.lit(cinfo.count()).alias("C"))
+         .withColumn("class_idx", keyed_index(F.col("C"), seed, F.col("task"), "c")))
+    t = small_join(t, cinfo, "class_idx", "task", max_broadcast_rows)
     q0, q1 = distinct_indices(F.col("n"), 2, seed, F.col("task"))
     t = t.select("task", "class", "class_idx", "C", q0.alias("mq"), q1.alias("mp"))
     mem = members.select("class", "member_idx", "item_id")
@@ -320,9 +329,9 @@ def one_shot_tasks(items: DataFrame, n: int, tasks: int, seed) -> DataFrame:
     negs = (t.select("task", "class_idx", "C", "query", nneg.alias("nneg"))
             .withColumn("pair_no", F.explode(F.sequence(F.lit(1), F.col("nneg"))))
             .withColumn("oidx", shift_past(keyed_index(F.col("C") - 1, seed, F.col("task"), F.col("pair_no"), "o"),
-                                           F.col("class_idx"), F.lit(1)))
-            .join(cinfo.select(F.col("class_idx").alias("oidx"), F.col("class").alias("oclass"),
-                               F.col("n").alias("on")), "oidx")
+                                           F.col("class_idx"), F.lit(1))))
+    others = cinfo.select(F.col("class_idx").alias("oidx"), F.col("class").alias("oclass"), F.col("n").alias("on"))
+    negs = (small_join(negs, others, "oidx", ["task", "pair_no"], max_broadcast_rows)
             .withColumn("om", keyed_index(F.col("on"), seed, F.col("task"), F.col("pair_no"), "m")))
     negs = _lookup(negs, mem, {"class": "oclass", "member_idx": "om"}, "support").select(
         "task", "pair_no", "query", "support", F.lit(0).alias("label"))
