@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from kshot.operators.joins import split_join
 from kshot.operators.positions import global_position, ranged_position
+from kshot.session import staged
 
 # The characters Python's str.strip() removes (str.isspace), in code-point order.
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
@@ -102,6 +103,28 @@ def build_vocab_by_freq(counts: DataFrame, rows_per_bucket: int = 100_000) -> Da
     return words.unionByName(_specials(counts.sparkSession).withColumn("cnt", F.lit(None).cast("bigint")))
 
 
+def merge_counts(*counts: DataFrame) -> DataFrame:
+    """``(token, cnt)`` of several batches together (deltas of a growing corpus)."""
+    both = counts[0].select("token", "cnt")
+    for more in counts[1:]:
+        both = both.unionByName(more.select("token", "cnt"))
+    return both.groupBy("token").agg(F.sum("cnt").alias("cnt"))
+
+
+def append_vocab(vocab: DataFrame | None, counts: DataFrame, low_freq: int = 0, rows_per_bucket: int = 100_000) -> DataFrame:
+    """B6 on a growing corpus: ``(token, id)`` with the ids of ``vocab`` unchanged and the tokens that ``counts`` (of all
+    batches so far, see ``merge_counts``) now finds more than ``low_freq`` times added after the largest id, by
+    descending count, ties by token.  Written, so that the next step reads it; without ``vocab`` a new one begins.
+
+    A token once in the vocabulary stays, also where ``counts`` no longer holds it; a null token gets no id.
+    """
+    old = _specials(counts.sparkSession) if vocab is None else vocab.select("token", F.col("id").cast("bigint").alias("id"))
+    last = old.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    new = counts.where((F.col("cnt") > low_freq) & F.col("token").isNotNull()).join(old, "token", "left_anti")
+    new = ranged_position(new.select("token", "cnt"), [F.desc("cnt"), F.asc("token")], "pos", rows_per_bucket)
+    return staged(old.unionByName(new.select("token", (F.col("pos") + last).alias("id"))), "vocab")
+
+
 def build_vocab_by_first_seen(sides: DataFrame, docs: DataFrame, key: str = "item_id",
                               tokens_col: str = "tokens") -> DataFrame:
     """Ids from 1 in order of first appearance scanning pairs in ``pair_pos`` order, left side

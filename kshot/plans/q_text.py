@@ -72,6 +72,34 @@ def q_build_vocab_by_freq(spark, sf):
     return _vocab_freq(spark, sf).select("token", "id")
 
 
+# three growing stages: the documents of more and more episodes
+GROWTH, LOW = (10, 20, 30), 2
+
+
+@register("append_vocab", f"""WITH {_pairs_sql(E=max(GROWTH)).replace(S.ITEMS_VEC, S.ITEMS_TEXT)}, {S.DTOK},
+used AS (SELECT item_id, min(episode) AS first FROM (SELECT episode, a AS item_id FROM pr UNION ALL SELECT episode, b FROM pr) GROUP BY item_id),
+st AS (SELECT item_id, {' + '.join(f'(first >= {t})::INTEGER' for t in GROWTH)} AS stage FROM used),
+c AS (SELECT token, stage, count(*) AS cnt FROM (SELECT stage, unnest(tokens) AS token FROM dtok JOIN st USING (item_id)) GROUP BY token, stage),
+k AS (SELECT token, g.stage, sum(cnt) AS cnt FROM c JOIN (SELECT unnest(range({len(GROWTH)})) AS stage) g ON c.stage <= g.stage GROUP BY token, g.stage),
+f AS (SELECT token, min(stage) AS stage, arg_min(cnt, stage) AS cnt FROM k WHERE cnt > {LOW} GROUP BY token)
+SELECT token, stage::INTEGER AS stage, (row_number() OVER (ORDER BY stage, cnt DESC, token) + 1)::BIGINT AS id FROM f""")
+def q_append_vocab(spark, sf):
+    """Growing vocabulary: ids of earlier stages stay, new tokens follow them."""
+    ep = D.sample_episodes(fx.items_text(spark, sf), max(GROWTH), 5, 5, SEED)
+    pr = D.episode_pairs(ep, 300, SEED, 25)
+    used = pr.select("episode", F.explode(F.array("a", "b")).alias("item_id")).groupBy("item_id").agg(F.min("episode").alias("first"))
+    stage = sum(((F.col("first") >= t).cast("int") for t in GROWTH), F.lit(0))
+    texts = staged(docs(spark, sf).join(used.withColumn("stage", stage), "item_id").select("stage", "tokens"), "growth")
+    vocab, counts, out = None, None, None
+    for s in range(len(GROWTH)):
+        delta = B.token_count(texts.where(F.col("stage") == s))
+        counts = staged(delta if counts is None else B.merge_counts(counts, delta), "counts")
+        grown = B.append_vocab(vocab, counts, LOW)
+        new = (grown.where("id > 1") if vocab is None else grown.join(vocab.select("id"), "id", "left_anti")).withColumn("stage", F.lit(s))
+        vocab, out = grown, new if out is None else out.unionByName(new)
+    return out.select("token", "stage", "id")
+
+
 def _pair_sides(spark, sf, E=20):
     items = fx.items_text(spark, sf)
     ep = D.sample_episodes(items, E, 5, 5, SEED)
