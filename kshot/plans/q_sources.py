@@ -145,3 +145,13 @@ def q_materialize_once(spark, sf):
     first.count()
     # second call finds _SUCCESS and reads the stored stage without recomputing
     return A.materialize_once(spark, path, lambda: (_ for _ in ()).throw(RuntimeError("recomputed")))
+
+
+@register("reuse_stage", f"""WITH {S.DTOK}
+SELECT token, count(*) AS cnt, true AS reused FROM (SELECT unnest(tokens) AS token FROM dtok) GROUP BY token""")
+def q_reuse_stage(spark, sf):
+    """A stage found again by its plan and input files: the second, newly built plan reads the files of the first."""
+    root = shared_dir(spark, "stages")
+    first = A.reuse_stage(B.token_count(docs(spark, sf)), root, "token_counts")
+    again = A.reuse_stage(B.token_count(docs(spark, sf)), root, "token_counts")
+    return again.withColumn("reused", F.lit(sorted(first.inputFiles()) == sorted(again.inputFiles())))

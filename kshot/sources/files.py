@@ -7,9 +7,12 @@ one-file-per-item layouts; each task writes its own files into a shared folder.
 
 from __future__ import annotations
 
+import contextlib
 import csv
+import hashlib
 import io
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,3 +188,39 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         build().write.mode("overwrite").parquet(path)     # also over what a failed write left
     return spark.read.parquet(path)
+
+
+def plan_text(df: DataFrame) -> str:
+    """The optimized plan without what differs from run to run: column ids and lambda variables are numbered anew."""
+    spark, width = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    before, out = spark.conf.get(width), io.StringIO()
+    spark.conf.set(width, "100000")
+    try:
+        with contextlib.redirect_stdout(out):
+            df.explain("extended")
+    finally:
+        spark.conf.set(width, before)
+    plan = out.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    seen: dict[str, int] = {}
+    return re.sub(r"#\d+L?|\b[xyz]_\d+\b", lambda m: f"#{seen.setdefault(m[0], len(seen))}", plan).strip()
+
+
+def stage_key(df: DataFrame, version: str = "") -> str:
+    """What a stage depends on: its plan, its schema, and path, size and time of every input file.
+
+    The body of a Python function is not part of a plan: ``version`` stands for it."""
+    files = sorted(df.inputFiles())
+    state = ""
+    if files:
+        seen = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+        each = F.xxhash64("path", "length", "modificationTime")           # contents are not read
+        state = str(tuple(seen.agg(F.count(F.lit(1)), F.bit_xor(each), F.sum(F.shiftright(each, 8))).first()))
+    return hashlib.sha256("\n".join((version, df.schema.json(), plan_text(df), state)).encode()).hexdigest()[:32]
+
+
+def reuse_stage(df: DataFrame, root: str, name: str, version: str = "") -> DataFrame:
+    """A11 for stages that may go stale: ``df`` as last written under the same ``stage_key``, else written now.
+
+    A changed plan or input file has another key, so it never meets the old stage; a write that did not end has no
+    ``_SUCCESS`` and is made again.  A file that is replaced without a change of size and time is not noticed."""
+    return materialize_once(df.sparkSession, f"{root.rstrip('/')}/{name}/{stage_key(df, version)}", lambda: df)
