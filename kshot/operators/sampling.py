@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from kshot.functions.draw import distinct_indices, distinct_indices_array, keyed_index, shift_past
 from kshot.operators.joins import small_join
-from kshot.operators.labels import label_index
-from kshot.operators.positions import class_offsets, member_index
+from kshot.operators.labels import MAX_ROWS
+from kshot.operators.positions import class_offsets, member_index, ranged_position
 from kshot.session import staged
 
 #: Class tables up to this size are broadcast; larger ones meet the draws on (class, salt).
@@ -56,8 +56,11 @@ def _members(items: DataFrame, seed, min_members: int = 1, class_col: str = "cla
 
 
 def _class_table(classes: DataFrame) -> DataFrame:
-    """``(class, class_idx, n)``, written once: it is counted and joined several times."""
-    return staged(label_index(classes.select("class")).join(classes, "class"), "class_table")
+    """``(class, class_idx, n)`` from ``(class, n)``, which is written once: it is counted and joined several times."""
+    classes = staged(classes.select("class", "n"), "class_table")
+    if classes.count() <= MAX_ROWS:
+        return classes.withColumn("class_idx", (F.row_number().over(Window.orderBy("class")) - 1).cast("bigint"))
+    return ranged_position(classes, [F.col("class")], "class_idx", MAX_ROWS).withColumn("class_idx", F.col("class_idx") - 1)
 
 
 # ---------------------------------------------------------------------------------------- D1

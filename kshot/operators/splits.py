@@ -91,7 +91,7 @@ def draw_support(items: DataFrame, k: int, seed, class_col: str = "class", item_
                  .where(F.col("_k") <= k).select(item_col), "support_ids")
     few = ids.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
     ids = F.broadcast(ids) if few else ids
-    labels = staged(label_index(items, class_col), "labels")
+    labels = label_index(items, class_col)          # of a written class table
 
     def tag(part: DataFrame) -> DataFrame:
         return small_join(part, labels, class_col, item_col, max_broadcast_rows)
