@@ -354,18 +354,19 @@ def scale_sweep(items: DataFrame, tokens: DataFrame, thresholds: list[int], pair
     """One episode/pair run at the largest episode count, summarised at every threshold E:
     ``(episodes, pairs, positives, vocab_size)`` where vocab counts distinct tokens of the items used.
 
-    ``tokens`` is ``(item_id, token)``.  Each item's tokens are exploded once: a token enters the
-    vocabulary at the first episode that uses any item holding it.
+    ``tokens`` is ``(item_id, token)``, repeats allowed.  Each item's tokens are exploded once: a token enters the
+    vocabulary at the first episode that uses any item holding it.  The items used are bounded by the pairs; tokens meet
+    them where they are read (``small_join``), so that only those of used items are shuffled, once a task and token.
     """
     ep = sample_episodes(items, max(thresholds), n_way, k_shot, seed)
-    pr = episode_pairs(ep, pairs, seed, n_way * k_shot)
+    pr = staged(episode_pairs(ep, pairs, seed, n_way * k_shot), "sweep_pairs")
     th = F.array(*[F.lit(t) for t in thresholds])
     counts = (pr.withColumn("episodes", F.explode(F.filter(th, lambda t: F.col("episode") < t)))
               .groupBy("episodes").agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("positives")))
     used = (pr.select("episode", F.col("a").alias("item_id"))
             .unionByName(pr.select("episode", F.col("b").alias("item_id")))
             .groupBy("item_id").agg(F.min("episode").alias("first_ep")))
-    tok_first = tokens.join(used, "item_id").groupBy("token").agg(F.min("first_ep").alias("first_ep"))
+    tok_first = small_join(tokens, staged(used, "sweep_items"), "item_id", "token").groupBy("token").agg(F.min("first_ep").alias("first_ep"))
     vocab = (tok_first.withColumn("episodes", F.explode(F.filter(th, lambda t: F.col("first_ep") < t)))
              .groupBy("episodes").agg(F.count(F.lit(1)).alias("vocab_size")))
     return counts.join(vocab, "episodes", "left").select(

@@ -346,5 +346,5 @@ SELECT cnt.episodes::INTEGER AS episodes, cnt.pairs::BIGINT AS pairs, cnt.positi
   coalesce(voc.vocab_size, 0)::BIGINT AS vocab_size FROM cnt LEFT JOIN voc USING (episodes)""")
 def q_scale_sweep(spark, sf):
     items = fx.items_text(spark, sf)
-    toks = items.select("item_id", F.explode(tokenize(F.col("text"))).alias("token")).distinct()
+    toks = items.select("item_id", F.explode(tokenize(F.col("text"))).alias("token"))
     return D.scale_sweep(items, toks, [10, 20, 30], 300, 5, 5, SEED)
