@@ -8,8 +8,9 @@ these only those within ``u`` of the query at ``TABLE`` more pivots; just those
 
 More supports are dealt into chunks under ``MAX_BYTES``, by pivot cell, a large cell by hash into several.  A bounded
 sample of the supports gives each query an upper bound; the query travels only to chunks whose ring of pivot distances
-comes within that bound, meets each with its own pivots there, and a partial maximum per query finishes.  Queries of a
-chunk are dealt over as many tasks as their bytes ask for, so neither a hot cell nor a hot chunk gathers in one task.
+comes within that bound, meets each with its own pivots there, and a partial maximum per query finishes.  Neighbouring
+chunks share a shelf of ``MAX_BYTES``, to which a query travels once.  Queries of a shelf are dealt over as many tasks as
+their bytes and pairs ask for, so neither a hot cell nor a hot chunk gathers in one task.
 
 Equal distances go to the lowest class index.  A query without any defined pair gets the lowest class index and the score
 ``-inf``.  Vectors that are not finite (or beyond 1e100) are compared
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kshot.functions.blocks import cosine_block, l1_block, l1_rows, matrices
 from kshot.functions.vectors import cosine_similarity, manhattan_similarity
@@ -38,6 +39,10 @@ TABLE = 16               # pivots, the first, whose distances to all supports ar
 PROBE = 32               # supports compared for a first bound
 SAMPLE = 4096
 FEW = 256                # up to so many supports are compared without pivots
+TRIAL = 16               # queries that show how many supports the pivots leave
+WEAK = 0.25              # above this share the others are compared with all, in blocks
+PAIRS = 1 << 27          # (query, support) pairs of a task
+SCAN = 1 << 20           # numbers of a matrix of queries against supports or chunks
 _SLACK = 1e-9            # share of the distances by which rounding may break the triangle inequality
 FOUND = "rank double, class_idx int, compared long"
 
@@ -107,7 +112,31 @@ class Cells:
         return least, klass if least < best or best_class < 0 else min(klass, best_class)
 
     def nearest(self, q: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Least distance at most ``upper``, lowest class at it (-1: none), and the number of supports compared."""
+        """Least distance at most ``upper``, lowest class at it (-1: none), and the number of supports compared.
+
+        A few queries show what the pivots save; where that is little, the rest meet all supports in blocks, at a tenth of
+        the time a distance."""
+        first = self._pruned(q[:TRIAL], upper[:TRIAL])
+        rest = q[TRIAL:]
+        if not len(rest):
+            return first
+        weak = first[2].sum() > WEAK * len(self.vectors) * TRIAL
+        more = (self._scanned if weak else self._pruned)(rest, upper[TRIAL:])
+        return tuple(np.concatenate(x) for x in zip(first, more, strict=True))
+
+    def _scanned(self, q: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.vectors)
+        dist, classes = upper.copy(), np.full(len(q), -1)
+        step = max(1, SCAN // n)
+        for a in range(0, len(q), step):
+            d = l1_block(q[a:a + step], self.vectors)
+            least = d.min(axis=1)
+            near = np.where(d == least[:, None], self.classes, np.iinfo(self.classes.dtype).max).min(axis=1)
+            found = least <= upper[a:a + step]
+            dist[a:a + step][found], classes[a:a + step][found] = least[found], near[found]
+        return dist, classes, np.full(len(q), n, np.int64)
+
+    def _pruned(self, q: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         dist, classes, compared = upper.copy(), np.full(len(q), -1), np.zeros(len(q), np.int64)
         to_pivots = l1_block(q, self.pivots)
         for i, (vec, near) in enumerate(zip(q, to_pivots, strict=True)):
@@ -134,6 +163,14 @@ class Cells:
         return dist, classes, compared
 
 
+def keep_better(rank: np.ndarray, classes: np.ndarray, at: np.ndarray, r: np.ndarray, found: np.ndarray) -> None:
+    """Put the answers ``r``, ``found`` in place where they are nearer, or as near with a lower class."""
+    # NaN counts as the greatest rank, as in Spark
+    old, new = np.nan_to_num(rank[at], nan=np.inf), np.nan_to_num(r, nan=np.inf)
+    better = (found >= 0) & ((classes[at] < 0) | (new > old) | ((new == old) & (found < classes[at])))
+    rank[at[better]], classes[at[better]] = r[better], found[better]
+
+
 class Supports:
     """Support vectors of any lengths in memory: pivot cells where they pay, plain matrices else."""
 
@@ -183,10 +220,7 @@ class Supports:
                     r, found = all_ranks[np.arange(len(at)), first], cells.classes[order][first]
                     seen = np.full(len(at), len(order))
                 compared[at] += seen
-                # NaN counts as the greatest rank, as in Spark
-                old, new = np.nan_to_num(rank[at], nan=np.inf), np.nan_to_num(r, nan=np.inf)
-                better = (found >= 0) & ((classes[at] < 0) | (new > old) | ((new == old) & (found < classes[at])))
-                rank[at[better]], classes[at[better]] = r[better], found[better]
+                keep_better(rank, classes, at, r, found)
         return rank, classes, compared
 
 
@@ -247,7 +281,8 @@ def _deal(supports: DataFrame, kernel: Kernel, max_bytes: int) -> tuple[DataFram
     table = some.toArrow()["vec"]
     whole = max(((m[_tame(m)]) for _, m in matrices(table)), key=len, default=np.zeros((0, 0)))
     pivots = choose_pivots(whole, PIVOTS) if kernel.is_l1 and len(whole) and whole.shape[1] else np.zeros((0, 0))
-    held = supports.sparkSession.sparkContext.broadcast(pivots)
+    sc = supports.sparkSession.sparkContext
+    held = sc.broadcast(pivots)
 
     def cell_of(vectors):
         cell, ring, p = np.full(len(vectors), -1), np.zeros(len(vectors)), held.value
@@ -263,69 +298,143 @@ def _deal(supports: DataFrame, kernel: Kernel, max_bytes: int) -> tuple[DataFram
     for c in sorted(cells, key=lambda r: r["cell"]):
         table.append((c["cell"], first, n := -(-c["bytes"] // max_bytes)))
         first += n
-    number = F.create_map(*[F.lit(x) for c, at, n in table for x in (c, at)])
-    parts = F.create_map(*[F.lit(x) for c, at, n in table for x in (c, n)])
     # a cell is cut by ring distance, so that its chunks are narrow; equal distances are dealt by hash
-    rings = {c: celled.where(F.col("cell") == c).approxQuantile("ring", [i / n for i in range(1, n)], 0.01)
-             for c, _, n in table if n > 1 and c >= 0}
-    piece = F.pmod(F.xxhash64("vec", "class_idx"), parts[F.col("cell")]).cast("int")
-    for c, cuts in rings.items():
-        inner = [x for x, y in zip(cuts, [None, *cuts], strict=False) if x != y]
-        if len(inner) == len(cuts):
-            above = sum((F.when(F.col("ring") > x, 1).otherwise(0) for x in inner), F.lit(0))
-            piece = F.when(F.col("cell") == c, above).otherwise(piece)
-    dealt = celled.withColumn("chunk", number[F.col("cell")] + piece)
+    most = max((n for c, _, n in table if c >= 0), default=1)
+    cuts = {}
+    if most > 1:
+        grid = [i / most for i in range(1, most)]
+        rings = celled.where(F.col("cell") >= 0).groupBy("cell").agg(F.percentile_approx("ring", grid, max(10_000, 10 * most)).alias("q"))
+        rings = {r["cell"]: r["q"] for r in rings.collect()}                                # a row a pivot
+        for c, _, n in table:
+            if n > 1 and c >= 0:
+                x = np.array([rings[c][round(i * most / n) - 1] for i in range(1, n)])
+                cuts[c] = x if len(np.unique(x)) == len(x) else None
+    where = sc.broadcast({c: (at, n, cuts.get(c)) for c, at, n in table})
+    celled_names = [*celled.columns, "chunk"]
+    at_cell, at_ring = celled.columns.index("cell"), celled.columns.index("ring")
+
+    def place(batches):
+        for b in batches:
+            cell, ring = b.column(at_cell).to_numpy(), b.column(at_ring).to_numpy()
+            hashed, chunk = b.column(len(b.columns) - 1).to_numpy(), np.empty(len(b), np.int32)
+            for c in np.unique(cell).tolist():
+                rows, (first, n, x) = np.flatnonzero(cell == c), where.value[c]
+                chunk[rows] = first + (np.searchsorted(x, ring[rows]) if x is not None else hashed[rows] % n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(chunk)], names=celled_names)
+    hashed = celled.withColumn("hash", F.pmod(F.xxhash64("vec", "class_idx"), F.lit(1 << 31)))
+    dealt = staged(hashed.mapInArrow(place, StructType([*celled.schema.fields, StructField("chunk", IntegerType())])), "support_chunks")
     spans = dealt.groupBy("chunk", "cell").agg(F.min("ring").alias("lo"), F.max("ring").alias("hi")).collect()  # a row a chunk
     return dealt.select("chunk", "class_idx", "vec"), sample, pivots, [(r["chunk"], r["cell"], r["lo"], r["hi"]) for r in spans]
 
 
-def _visits(sample: Supports, pivots: np.ndarray, spans: list, kernel: Kernel):
-    """Of a batch of queries: the chunks that each must visit and its upper bound."""
-    chunk = np.array([s[0] for s in spans])
-    cell = np.array([s[1] for s in spans])
-    lo, hi = np.array([s[2] for s in spans]), np.array([s[3] for s in spans])
+class _Rings:
+    """Which queries come within reach of which chunks."""
+
+    def __init__(self, pivots: np.ndarray, spans: list, is_l1: bool):
+        spans = sorted(spans)
+        self.pivots, self.is_l1 = pivots, is_l1
+        self.chunk = np.array([s[0] for s in spans], np.int64)
+        self.cell = np.array([s[1] for s in spans], np.int64)
+        self.lo, self.hi = np.array([s[2] for s in spans], float), np.array([s[3] for s in spans], float)
+
+    def reached(self, m: np.ndarray, near: np.ndarray | None, upper: np.ndarray, some: slice) -> np.ndarray:
+        """Of queries ``m`` of one length with pivot distances ``near``: whether each must meet each chunk of ``some``."""
+        if near is None:
+            return np.ones((len(m), len(self.chunk[some])), bool)
+        cell = self.cell[some]
+        d = near[:, np.maximum(cell, 0)]
+        gap = np.maximum(d - self.hi[some], self.lo[some] - d)
+        reach = (upper * (1 + _SLACK))[:, None] + _SLACK * (1 + d)
+        return (cell < 0) | ~(gap > reach) | ~_tame(m)[:, None]
+
+    def near(self, m: np.ndarray) -> np.ndarray | None:
+        return l1_block(m, self.pivots) if self.is_l1 and len(self.pivots) and m.shape[1] == self.pivots.shape[1] else None
+
+
+def _visits(sample: Supports, rings: _Rings, shelf: np.ndarray, kernel: Kernel):
+    """Of a batch of queries: the shelves that hold a chunk that each must visit, and its upper bound.  ``shelf`` is that
+    of each chunk, ascending."""
+    starts = np.flatnonzero(np.diff(shelf, prepend=-1))
 
     def fn(vectors):
         rank, classes, _ = sample.nearest(vectors)
         upper = np.where((classes >= 0) & np.isfinite(rank), -rank, np.inf)
-        visit = np.ones((len(vectors), len(chunk)), bool)
-        if kernel.is_l1 and len(pivots):
-            for rows, m in matrices(vectors):
-                if m.shape[1] == pivots.shape[1]:
-                    near = l1_block(m, pivots)[:, np.maximum(cell, 0)]
-                    gap = np.maximum(near - hi, lo - near)
-                    reach = (upper[rows] * (1 + _SLACK))[:, None] + _SLACK * (1 + near)
-                    visit[rows] = (cell < 0) | ~(gap > reach) | ~_tame(m)[:, None]
+        visit = np.ones((len(vectors), len(starts)), bool)
+        step = max(1, SCAN // max(1, len(shelf)))
+        for rows, m in matrices(vectors):
+            for a in range(0, len(rows), step):
+                part = m[a:a + step]
+                all_chunks = rings.reached(part, rings.near(part), upper[rows[a:a + step]], slice(None))
+                visit[rows[a:a + step]] = np.logical_or.reduceat(all_chunks, starts, axis=1)
         offs = np.concatenate(([0], np.cumsum(visit.sum(axis=1))))
-        to = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(chunk[np.nonzero(visit)[1]], pa.int32()))
+        to = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(shelf[starts][np.nonzero(visit)[1]], pa.int32()))
         return to, upper if kernel.is_l1 else np.full(len(upper), np.inf)
     return fn
 
 
 def rank_chunks(queries: DataFrame, supports: DataFrame, kernel: Kernel, query_vec: str, names: list[str],
                 max_bytes: int, queries_per_task: int | None = None) -> DataFrame:
-    """As ``rank_broadcast`` for supports of any size."""
+    """As ``rank_broadcast`` for supports of any size.
+
+    Neighbouring chunks stand on shelves of ``MAX_BYTES`` (a larger chunk has its own): a query travels once to a shelf,
+    whatever the number of its chunks that it must meet there."""
     row = _free("_row", queries.columns)
     kept = staged(queries.withColumn(row, F.monotonically_increasing_id()), "queries")
     narrow = kept.select(F.col(row).alias("row"), F.col(query_vec).alias("vec"))
     dealt, sample, pivots, spans = _deal(supports, kernel, max_bytes)
-    salts = max(1, -(-vector_bytes(narrow, "vec") // MAX_BYTES))
+    sc = queries.sparkSession.sparkContext
+    rings = _Rings(pivots, spans, kernel.is_l1)
+    per_shelf = max(1, MAX_BYTES // max_bytes)
+    shelf_of = np.arange(len(rings.chunk)) // per_shelf
+    n = kept.count()
+    pairs = n * -(-supports.count() // max(1, int(shelf_of.max(initial=0)) + 1))
+    salts = max(1, -(-vector_bytes(narrow, "vec") // MAX_BYTES), -(-pairs // (4 * PAIRS)))
     if queries_per_task:
-        salts = max(salts, -(-kept.count() // queries_per_task))
-    sent = _beside(narrow, _visits(sample, pivots, spans, kernel), "vec", ["chunks", "upper"], "chunks array<int>, upper double")
+        salts = max(salts, -(-n // queries_per_task))
+    tasks = -(-n * len(spans) // PAIRS)
+    spread = narrow.repartition(tasks) if tasks > 1 else narrow
+    sent = _beside(spread, _visits(sample, rings, shelf_of, kernel), "vec", ["shelves", "upper"], "shelves array<int>, upper double")
     sent = sent.select("row", "vec", "upper", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"),
-                       F.explode("chunks").alias("chunk"))
-    spread = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                       F.explode("shelves").alias("shelf"))
+    shelves = sc.broadcast((rings, dict(zip(rings.chunk.tolist(), shelf_of.tolist(), strict=True))))
+    at_chunk, stood_names = dealt.columns.index("chunk"), [*dealt.columns, "shelf"]
+
+    def stand(batches):
+        for b in batches:
+            at = pa.array([shelves.value[1][c] for c in b.column(at_chunk).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, at], names=stood_names)
+    stood = dealt.mapInArrow(stand, StructType([*dealt.schema.fields, StructField("shelf", IntegerType())]))
+    stood = stood.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def meet(q: pa.Table, s: pa.Table) -> pa.Table:
         if not q.num_rows or not s.num_rows:
             return pa.table({"row": pa.array([], pa.int64()), "rank": pa.array([], pa.float64()),
                              "class_idx": pa.array([], pa.int32()), "compared": pa.array([], pa.int64())})
-        held = Supports(s["vec"].combine_chunks(), s["class_idx"].to_numpy(), kernel)
-        rank, classes, compared = held.nearest(q["vec"].combine_chunks(), q["upper"].to_numpy())
+        rings, vectors, upper = shelves.value[0], q["vec"].combine_chunks(), q["upper"].to_numpy().copy()
+        rank, classes, compared = np.full(len(vectors), -np.inf), np.full(len(vectors), -1), np.zeros(len(vectors), np.int64)
+        lengths = [(rows, m, rings.near(m)) for rows, m in matrices(vectors)]
+        s = s.sort_by("chunk")
+        numbers = s["chunk"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        held_vec, held_class = s["vec"].combine_chunks(), s["class_idx"].to_numpy()
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            at = int(np.searchsorted(rings.chunk, numbers[x]))
+            go = np.zeros(len(vectors), bool)
+            for rows, m, near in lengths:
+                go[rows] = rings.reached(m, near, upper[rows], slice(at, at + 1))[:, 0]
+            rows = np.flatnonzero(go)
+            if not len(rows):
+                continue
+            held = Supports(held_vec.slice(x, y - x), held_class[x:y], kernel)
+            r, found, seen = held.nearest(vectors.take(pa.array(rows)) if len(rows) < len(vectors) else vectors, upper[rows])
+            compared[rows] += seen
+            keep_better(rank, classes, rows, r, found)
+            if kernel.is_l1:
+                known = (classes >= 0) & np.isfinite(rank)
+                upper = np.where(known, np.minimum(upper, -rank), upper)
         return pa.table({"row": q["row"], "rank": pa.array(rank), "class_idx": pa.array(classes, pa.int32(), mask=classes < 0),
                          "compared": pa.array(compared)})
-    local = sent.groupBy("chunk", "salt").cogroup(spread.groupBy("chunk", "salt")).applyInArrow(meet, f"row long, {FOUND}")
+    local = sent.groupBy("shelf", "salt").cogroup(stood.groupBy("shelf", "salt")).applyInArrow(meet, f"row long, {FOUND}")
     best = local.groupBy("row").agg(
         F.max(F.when(F.col("class_idx").isNotNull(), F.struct("rank", (-F.col("class_idx")).alias("minus")))).alias("best"),
         F.sum("compared").alias("compared"))
@@ -334,13 +443,21 @@ def rank_chunks(queries: DataFrame, supports: DataFrame, kernel: Kernel, query_v
     return kept.join(found, row, "left").drop(row)
 
 
+def _tasks(queries: DataFrame, supports: DataFrame, least: int = 1 << 22) -> int:
+    """Tasks by the pairs to compare: one for few, every core for more, and ``PAIRS`` a task at most."""
+    pairs = queries.count() * supports.count()
+    return 1 if pairs < least else max(queries.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+
+
 def nearest_in_blocks(queries: DataFrame, supports: DataFrame, kernel: Kernel, query_vec: str = "vec",
                       max_bytes: int = MAX_BYTES, counted: bool = False, queries_per_task: int | None = None) -> DataFrame:
     """``queries`` with ``pred`` and ``score`` (and ``compared``, the supports it was compared with) against written
     ``supports(class_idx, vec)``; the size of the supports picks the way."""
     names = [_free(n, queries.columns) for n in ("_rank", "_class", "_compared")]
     if vector_bytes(supports, "vec") <= max_bytes:
-        found = rank_broadcast(queries, supports, kernel, query_vec, names)
+        n = 1 if queries.isStreaming else _tasks(queries, supports)
+        spread = queries.repartition(n) if n > 1 else queries
+        found = rank_broadcast(spread, supports, kernel, query_vec, names)
     else:
         found = rank_chunks(queries, supports, kernel, query_vec, names, max_bytes, queries_per_task)
     lowest = supports.agg(F.min("class_idx")).first()[0]

@@ -130,3 +130,26 @@ def test_many_supports_equal_brute_force():
     assert (rank == -d.min(axis=1)).all()
     assert all(classes[i] == cells.classes[d[i] == d[i].min()].min() for i in range(60))
     assert compared.sum() < 0.02 * 60 * 100_000
+
+
+def test_weak_pivots_compare_in_blocks_with_the_same_answers():
+    """Gaussian vectors of 64 dimensions, where pivots leave nearly all: the scan answers as the pruned way, ties too."""
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(1500, 64)).round(2)
+    vecs[700:760] = vecs[3]
+    cells = N.Cells(vecs, rng.permutation(1500).astype(np.int32))       # as Spark sends them
+    q = np.concatenate([rng.normal(size=(60, 64)).round(2), vecs[:80]])
+    for upper in (np.where(np.arange(140) % 2 == 0, 0.0, 40.0), np.full(140, INF)):
+        a, b = cells._pruned(q, upper), cells.nearest(q, upper)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert (b[2][N.TRIAL:] == 1500).all()
+
+
+def test_a_query_travels_once_to_a_shelf(spark):
+    """Hundreds of chunks on one shelf: one row a query, and the batch's chunk matrix is cut."""
+    rng = random.Random(4)
+    sup = N.write_support(spark.createDataFrame(list(enumerate(clustered(rng, 900))), "class_idx int, vec array<double>"))
+    _, sample, pivots, spans = N._deal(sup, N.KERNELS[V.manhattan_similarity], 400)
+    rings, shelf = N._Rings(pivots, spans, True), np.zeros(len(spans), np.int64)
+    to, _ = N._visits(sample, rings, shelf, N.KERNELS[V.manhattan_similarity])(pa.array(clustered(rng, 50)))
+    assert len(spans) > 100 and [len(x) for x in to.to_pylist()] == [1] * 50
