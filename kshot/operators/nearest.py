@@ -42,6 +42,7 @@ FEW = 256                # up to so many supports are compared without pivots
 TRIAL = 16               # queries that show how many supports the pivots leave
 WEAK = 0.25              # above this share the others are compared with all, in blocks
 PAIRS = 1 << 27          # (query, support) pairs of a task
+LEAST = 1 << 22          # so many pairs are worth every core
 SCAN = 1 << 20           # numbers of a matrix of queries against supports or chunks
 _SLACK = 1e-9            # share of the distances by which rounding may break the triangle inequality
 FOUND = "rank double, class_idx int, compared long"
@@ -389,6 +390,8 @@ def rank_chunks(queries: DataFrame, supports: DataFrame, kernel: Kernel, query_v
     n = kept.count()
     pairs = n * -(-supports.count() // max(1, int(shelf_of.max(initial=0)) + 1))
     salts = max(1, -(-vector_bytes(narrow, "vec") // MAX_BYTES), -(-pairs // (4 * PAIRS)))
+    if pairs >= LEAST:
+        salts = max(salts, -(-sc.defaultParallelism // (int(shelf_of.max(initial=0)) + 1)))
     if queries_per_task:
         salts = max(salts, -(-n // queries_per_task))
     tasks = -(-n * len(spans) // PAIRS)
@@ -443,10 +446,10 @@ def rank_chunks(queries: DataFrame, supports: DataFrame, kernel: Kernel, query_v
     return kept.join(found, row, "left").drop(row)
 
 
-def _tasks(queries: DataFrame, supports: DataFrame, least: int = 1 << 22) -> int:
+def _tasks(queries: DataFrame, supports: DataFrame) -> int:
     """Tasks by the pairs to compare: one for few, every core for more, and ``PAIRS`` a task at most."""
     pairs = queries.count() * supports.count()
-    return 1 if pairs < least else max(queries.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+    return 1 if pairs < LEAST else max(queries.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
 
 
 def nearest_in_blocks(queries: DataFrame, supports: DataFrame, kernel: Kernel, query_vec: str = "vec",
