@@ -3,17 +3,23 @@
 Readers use Spark's file sources (``wholetext``, ``csv``, ``binaryFile``, ``json``, ``text``) with the
 file path from ``_metadata``; schemas are fixed, never inferred.  The tree writers exist to produce the
 one-file-per-item layouts; each task writes its own files into a shared folder.
+
+Trees of one file an item (A1, A3) on a shared POSIX mount are listed and read by tasks: Spark's file sources hold
+the status of every file on the driver.  They remain the way on other file systems, which Python tasks do not reach.
 """
 
 from __future__ import annotations
 
+import bz2
 import contextlib
 import csv
+import gzip
 import hashlib
 import io
 import os
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +27,115 @@ from pyspark.sql import functions as F
 from kshot.operators.text import WHITESPACE
 from kshot.session import local_path
 
+PATHS = 10_000           # in a batch of listed files
+BYTES = 1 << 23          # of contents in a batch (a single longer file is a batch)
+
+#: By the end of a file's name, as Hadoop's codecs go by it; those without a decoder here are left to Spark's source.
+DECODE = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".deflate": zlib.decompress, ".lz4": None, ".snappy": None,
+          ".zst": None}
+
+
+# ---------------------------------------------------------------- trees of files
+def _entries(folder: str) -> Iterator[tuple[str, bool]]:
+    """Path, and whether it is a folder, of what lies in ``folder``; names that Spark's file sources take for hidden are left out."""
+    with os.scandir(folder) as found:
+        for e in found:
+            hidden = (e.name.startswith("_") and "=" not in e.name) or e.name.startswith(".") or e.name.endswith("._COPYING_")
+            if not hidden and (e.is_dir() or e.is_file()):
+                yield e.path, e.is_dir()
+
+
+def _files_below(path: str) -> Iterator[str]:
+    folders = [path]
+    while folders:
+        for sub, is_folder in _entries(folders.pop()):
+            if is_folder:
+                folders.append(sub)
+            else:
+                yield sub
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]):
+    import itertools
+
+    import pandas as pd
+    while part := list(itertools.islice(rows, PATHS)):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def _open_folders(batches):
+    """Folders give way to what lies in them, files stay."""
+    rows = ((f"file:{sub}", is_folder) for b in batches for path, folder in zip(b["path"], b["folder"])
+            for sub, is_folder in (_entries(local_path(path)) if folder else [(local_path(path), False)]))
+    return _frames(rows, ["path", "folder"])
+
+
+def _walk_folders(batches):
+    rows = ((f"file:{sub}",) for b in batches for path, folder in zip(b["path"], b["folder"])
+            for sub in (_files_below(local_path(path)) if folder else [local_path(path)]))
+    return _frames(rows, ["path"])
+
+
+def _read_files(batches):
+    import pandas as pd
+    paths, contents, size = [], [], 0
+    for path in (p for b in batches for p in b["path"]):
+        with open(local_path(path), "rb") as fh:
+            data = fh.read()
+        end = os.path.splitext(path)[1]
+        if end in DECODE and data:
+            if DECODE[end] is None:
+                raise ValueError(f"{path}: {end} is not decoded in tasks; scan_class_tree(..., in_tasks=False) reads it")
+            data = DECODE[end](data)
+        paths.append(path)
+        contents.append(data)
+        size += len(data)
+        if size >= BYTES or len(paths) >= PATHS:
+            yield pd.DataFrame({"path": paths, "content": contents})
+            paths, contents, size = [], [], 0
+    if paths:
+        yield pd.DataFrame({"path": paths, "content": contents})
+
+
+def _stat_files(batches):
+    rows = ((path, s.st_size, s.st_mtime_ns) for b in batches for path in b["path"] for s in [os.stat(local_path(path))])
+    return _frames(rows, ["path", "length", "changed"])
+
+
+def _roots(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """What ``root`` (a path, URI or glob) names: qualified paths, and whether each is a folder."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(root)
+    found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath)
+    return [(s.getPath().toString(), s.isDirectory()) for s in found or ()]
+
+
+def list_tree(spark: SparkSession, root: str, levels: int = 1) -> DataFrame | None:
+    """``path`` of every file below ``root`` on a shared POSIX mount, listed by tasks and dealt out evenly; None if
+    ``root`` is elsewhere or not there.
+
+    The folders of ``levels`` levels below ``root`` are dealt out over tasks, deeper ones are walked with the folder that
+    they lie in.  Only ``root`` itself passes through the driver; a task holds ``PATHS`` paths at a time."""
+    roots = _roots(spark, root)
+    if not roots or not all(path.startswith("file:/") for path, _ in roots):
+        return None
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))       # given, else AQE would merge by the few bytes of paths
+    at = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[
+        F.struct(F.lit(path).alias("path"), F.lit(folder).alias("folder")) for path, folder in roots])).alias("r")).select("r.*")
+    for _ in range(levels):
+        at = at.mapInPandas(_open_folders, "path string, folder boolean").repartition(n, "path")
+    return at.mapInPandas(_walk_folders, "path string").repartition(n, "path")
+
+
+def tree_version(spark: SparkSession, root: str) -> str:
+    """What ``reuse_stage`` takes as ``version`` of a stage over such a tree: count and hashes of path, size and time of its files."""
+    files = list_tree(spark, root)
+    if files is None:
+        raise ValueError(f"{root}: not there, or not on a POSIX mount")
+    each = F.xxhash64("path", "length", "changed")
+    seen = files.mapInPandas(_stat_files, "path string, length long, changed long")
+    return str(tuple(seen.agg(F.count(F.lit(1)), F.bit_xor(each), F.sum(F.shiftright(each, 8))).first()))
+
 
 # ---------------------------------------------------------------- A1
 def write_class_tree(df: DataFrame, root: str, class_col: str, name_col: str, text_col: str) -> int:
@@ -42,10 +157,19 @@ def write_class_tree(df: DataFrame, root: str, class_col: str, name_col: str, te
     return out.agg(F.sum("n")).first()[0] or 0
 
 
-def scan_class_tree(spark: SparkSession, root: str) -> DataFrame:
-    """A1: every file is one document, its class the parent directory: ``(class, name, text)``."""
-    df = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-          .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
+def scan_class_tree(spark: SparkSession, root: str, in_tasks: bool = True) -> DataFrame:
+    """A1: every file is one document, its class the parent directory: ``(class, name, text)``.
+
+    On a shared POSIX mount tasks list and read the files (``list_tree``), empty ones too; elsewhere, or if not
+    ``in_tasks``, Spark's file source does, which lists every file on the driver and leaves out empty files."""
+    files = list_tree(spark, root) if in_tasks else None
+    if files is None:
+        raw = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))      # file_path is percent-encoded
+        df = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+              .select(F.col("value").alias("text"), F.url_decode(raw).alias("path")))
+    else:
+        df = (files.mapInPandas(_read_files, "path string, content binary")
+              .select(F.col("content").cast("string").alias("text"), "path"))
     parts = F.split(F.col("path"), "/")
     return df.select(F.element_at(parts, -2).alias("class"), F.element_at(parts, -1).alias("name"), "text")
 
@@ -83,9 +207,11 @@ def scan_class_csv(spark: SparkSession, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- A3
 def scan_image_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """A3: ``root/<split>/<superclass>/<class>/<file>`` -> ``(split, superclass, class, path)``; only the
-    path column is selected so file contents are never read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    """A3: ``root/<split>/<superclass>/<class>/<file>`` -> ``(split, superclass, class, path)``; file contents are
+    never read.  On a shared POSIX mount tasks list the files, elsewhere Spark's file source (on the driver)."""
+    df = list_tree(spark, root, levels=3)
+    if df is None:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     parts = F.split(F.col("path"), "/")
     return df.select(F.element_at(parts, -4).alias("split"), F.element_at(parts, -3).alias("superclass"),
                      F.element_at(parts, -2).alias("class"), "path")
@@ -208,14 +334,18 @@ def plan_text(df: DataFrame) -> str:
 def stage_key(df: DataFrame, version: str = "") -> str:
     """What a stage depends on: its plan, its schema, and path, size and time of every input file.
 
-    The body of a Python function is not part of a plan: ``version`` stands for it."""
+    The body of a Python function is not part of a plan: ``version`` stands for it, and for a tree whose files are listed
+    by tasks (``tree_version``)."""
+    plan = plan_text(df)
+    if _walk_folders.__name__ in plan and not version:
+        raise ValueError("the files of a tree are not part of the plan: give tree_version(spark, root) in version")
     files = sorted(df.inputFiles())
     state = ""
     if files:
         seen = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
         each = F.xxhash64("path", "length", "modificationTime")           # contents are not read
         state = str(tuple(seen.agg(F.count(F.lit(1)), F.bit_xor(each), F.sum(F.shiftright(each, 8))).first()))
-    return hashlib.sha256("\n".join((version, df.schema.json(), plan_text(df), state)).encode()).hexdigest()[:32]
+    return hashlib.sha256("\n".join((version, df.schema.json(), plan, state)).encode()).hexdigest()[:32]
 
 
 def reuse_stage(df: DataFrame, root: str, name: str, version: str = "") -> DataFrame:
