@@ -196,7 +196,9 @@ def episode_pairs(episodes: DataFrame, pairs: int, seed, slots: int) -> DataFram
 
     Output ``(episode, pair_no, a, b, label)``.
     """
-    ep = episodes.select("episode").distinct().withColumn("pair_no", _seq(pairs))
+    # few rows of many draws each: dealt over the cores, however little the rows weigh
+    cores = episodes.sparkSession.sparkContext.defaultParallelism
+    ep = episodes.select("episode").distinct().repartition(cores, "episode").withColumn("pair_no", _seq(pairs))
     ep = ep.select("episode", "pair_no",
                    keyed_index(slots, seed, F.col("episode"), F.col("pair_no"), "a").alias("sa"),
                    keyed_index(slots, seed, F.col("episode"), F.col("pair_no"), "b").alias("sb"))
@@ -349,16 +351,23 @@ def alternating_labels(pair_no: Column, one_shot: bool) -> Column:
 
 
 # ---------------------------------------------------------------------------------------- D12
-def scale_sweep(items: DataFrame, tokens: DataFrame, thresholds: list[int], pairs: int, n_way: int,
-                k_shot: int, seed) -> DataFrame:
+def sweep_sizes(sizes: list[int], slots: int, items: int) -> list[int]:
+    """Episode counts of a sweep: ``sizes``, and where they draw fewer slots than there are items, one that draws as many."""
+    whole = -(-items // slots)
+    return [*sizes, whole] if whole > max(sizes) else list(sizes)
+
+
+def scale_sweep(items: DataFrame, tokens: Column, thresholds: list[int], pairs: int, n_way: int,
+                k_shot: int, seed, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """One episode/pair run at the largest episode count, summarised at every threshold E:
     ``(episodes, pairs, positives, vocab_size)`` where vocab counts distinct tokens of the items used.
 
-    ``tokens`` is ``(item_id, token)``, repeats allowed.  Each item's tokens are exploded once: a token enters the
-    vocabulary at the first episode that uses any item holding it.  The items used are bounded by the pairs; tokens meet
-    them where they are read (``small_join``), so that only those of used items are shuffled, once a task and token.
+    ``tokens`` is the list of an item's tokens, repeats allowed, made of columns of ``items``.  Each used item is exploded
+    once: a token enters the vocabulary at the first episode that uses any item holding it.  Items meet the used ones
+    before they are split into tokens: by broadcast under ``max_broadcast_rows`` narrow rows, so that nothing but tokens,
+    once a task, is shuffled; above that by one join on ``item_id``, which is unique, so every text moves once.
     """
-    ep = sample_episodes(items, max(thresholds), n_way, k_shot, seed)
+    ep = staged(sample_episodes(items, max(thresholds), n_way, k_shot, seed), "sweep_episodes")
     pr = staged(episode_pairs(ep, pairs, seed, n_way * k_shot), "sweep_pairs")
     th = F.array(*[F.lit(t) for t in thresholds])
     counts = (pr.withColumn("episodes", F.explode(F.filter(th, lambda t: F.col("episode") < t)))
@@ -366,7 +375,8 @@ def scale_sweep(items: DataFrame, tokens: DataFrame, thresholds: list[int], pair
     used = (pr.select("episode", F.col("a").alias("item_id"))
             .unionByName(pr.select("episode", F.col("b").alias("item_id")))
             .groupBy("item_id").agg(F.min("episode").alias("first_ep")))
-    tok_first = small_join(tokens, staged(used, "sweep_items"), "item_id", "token").groupBy("token").agg(F.min("first_ep").alias("first_ep"))
+    met = small_join(items, staged(used, "sweep_items"), "item_id", "item_id", max_broadcast_rows, salts=1)
+    tok_first = met.select("first_ep", F.explode(tokens).alias("token")).groupBy("token").agg(F.min("first_ep").alias("first_ep"))
     vocab = (tok_first.withColumn("episodes", F.explode(F.filter(th, lambda t: F.col("first_ep") < t)))
              .groupBy("episodes").agg(F.count(F.lit(1)).alias("vocab_size")))
     return counts.join(vocab, "episodes", "left").select(

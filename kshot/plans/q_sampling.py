@@ -332,8 +332,15 @@ def q_alternating_labels(spark, sf):
 
 
 # ---------------------------------------------------------------- D12
-@register("scale_sweep", f"""WITH {_pairs_sql(E=30).replace(S.ITEMS_VEC, S.ITEMS_TEXT)},
-th AS (SELECT * FROM (VALUES (10), (20), (30)) v(t)),
+SWEEP = [100, 200, 300]                      # episodes of the reference's three runs
+_SWEEP_SQL = (_pairs_sql(E=0)
+              .replace(S.ITEMS_VEC, f"""{S.ITEMS_TEXT},
+th AS (SELECT unnest({SWEEP}) AS t UNION
+       SELECT whole FROM (SELECT ceil(count(*) / 25.0)::INTEGER AS whole FROM items) WHERE whole > {max(SWEEP)})""")
+              .replace("range(0) e(e)", "(SELECT unnest(range((SELECT max(t) FROM th)))) e(e)"))
+
+
+@register("scale_sweep", f"""WITH {_SWEEP_SQL},
 cnt AS (SELECT th.t AS episodes, count(*) AS pairs, sum(label) AS positives FROM pr, th WHERE pr.episode < th.t
         GROUP BY th.t),
 used AS (SELECT item_id, min(episode) AS first_ep FROM (SELECT episode, a AS item_id FROM pr UNION ALL
@@ -345,6 +352,6 @@ voc AS (SELECT th.t AS episodes, count(*) AS vocab_size FROM tf, th WHERE tf.fir
 SELECT cnt.episodes::INTEGER AS episodes, cnt.pairs::BIGINT AS pairs, cnt.positives::BIGINT AS positives,
   coalesce(voc.vocab_size, 0)::BIGINT AS vocab_size FROM cnt LEFT JOIN voc USING (episodes)""")
 def q_scale_sweep(spark, sf):
+    """The sizes of the reference, and for a table that they leave mostly undrawn one with as many draws as items."""
     items = fx.items_text(spark, sf)
-    toks = items.select("item_id", F.explode(tokenize(F.col("text"))).alias("token"))
-    return D.scale_sweep(items, toks, [10, 20, 30], 300, 5, 5, SEED)
+    return D.scale_sweep(items, tokenize(F.col("text")), D.sweep_sizes(SWEEP, 25, items.count()), 300, 5, 5, SEED)
