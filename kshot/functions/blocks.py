@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 18
+GROUP = 64               # 16-bit differences that are added before they could overflow
 
 
 def matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,6 +85,55 @@ def l1_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _sum_rows(np.abs(a - b))
 
 
+def _rounded_distances(q: np.ndarray, st: np.ndarray) -> np.ndarray:
+    """L1 distances of rows of ``q`` to columns of ``st``, both whole numbers so small that ``GROUP`` differences fit 16 bits."""
+    out = np.zeros((len(q), st.shape[1]), np.uint16 if q.shape[1] <= GROUP else np.uint32)
+    cols = max(1, BLOCK // 2 // len(q))
+    for b in range(0, st.shape[1], cols):
+        part = out[:, b:b + cols]
+        acc, tmp = np.empty(part.shape, np.int16), np.empty(part.shape, np.int16)
+        for g in range(0, q.shape[1], GROUP):
+            acc[:] = 0
+            for x, y in zip(q.T[g:g + GROUP], st[g:g + GROUP, b:b + cols], strict=True):
+                np.subtract(x[:, None], y[None, :], out=tmp)
+                np.abs(tmp, out=tmp)
+                np.add(acc, tmp, out=acc)
+            part += acc.view(np.uint16)
+    return out
+
+
+def l1_least(q: np.ndarray, s: np.ndarray, classes: np.ndarray, rows: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The least of ``l1_block(q, s)`` in every row, the same double, and the lowest class at it.
+
+    Numbers are rounded to a grid first: distances between grid points, in steps, are off by less than a step a dimension.
+    Only pairs that come within that of a row's least are compared in doubles; where many do, as without a grid, all are."""
+    n, dims = len(s), q.shape[1]
+    least, found = np.empty(len(q)), np.empty(len(q), np.int64)
+    lo, hi = (min(q.min(), s.min()), max(q.max(), s.max())) if q.size and s.size else (0.0, 0.0)
+    steps = 65535 // max(2, min(dims, GROUP))
+    grid = 1e-290 < hi - lo < 1e290 and len(q) >= rows
+    if grid:
+        def whole(m):
+            return np.rint((m - lo) / (hi - lo) * steps).astype(np.int16)
+        st, whole_q = np.ascontiguousarray(whole(s).T), whole(q)
+    for a in range(0, len(q), rows):
+        part = q[a:a + rows]
+        i = None
+        if grid:
+            near = _rounded_distances(whole_q[a:a + rows], st)
+            within = near.min(axis=1).astype(np.int64) + 2 * (dims + 1)
+            i, j = np.divmod(np.flatnonzero(near <= np.minimum(within, np.iinfo(near.dtype).max).astype(near.dtype)[:, None]), n)
+        if i is None or len(i) > near.size // 16 + rows:
+            d = l1_block(part, s)
+            least[a:a + rows] = d.min(axis=1)
+            found[a:a + rows] = np.where(d == d.min(axis=1)[:, None], classes, np.iinfo(classes.dtype).max).min(axis=1)
+            continue
+        d, first = l1_rows(part[i], s[j]), np.searchsorted(i, np.arange(len(part)))
+        least[a:a + rows] = low = np.minimum.reduceat(d, first)
+        found[a:a + rows] = np.minimum.reduceat(np.where(d == low[i], classes[j], np.iinfo(classes.dtype).max), first)
+    return least, found
+
+
 def _norms(a: np.ndarray) -> np.ndarray:
     return np.sqrt(_sum_rows(a * a))
 
